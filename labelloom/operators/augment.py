@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions.portable import uniform
 from labelloom.functions.text import split_words, swap_adjacent, swap_rounds
+from labelloom.functions.vectors import bind
 
 Augmenter = Callable[[Column, Column, Column], Column]
 
@@ -16,9 +17,11 @@ def random_swap(seed: object = 2, share: float = 0.3, least: int = 1, most: int
     """Swaps seeded neighbouring words; a share of the words, within bounds."""
 
     def apply(text: Column, row_id: Column, copy: Column) -> Column:
-        words = split_words(text)
-        rounds = swap_rounds(words, share, least, most)
-        return F.array_join(swap_adjacent(words, rounds, seed, row_id, copy), " ")
+        def swapped(words: Column) -> Column:
+            rounds = swap_rounds(words, share, least, most)
+            return F.array_join(swap_adjacent(words, rounds, seed, row_id, copy), " ")
+
+        return bind(split_words(text), swapped)
 
     return apply
 
@@ -56,11 +59,10 @@ def augment(
     original = F.col("_copy") < 0
     row_id = F.col(id_column).cast("string")
     marked = F.concat(row_id, F.lit("_aug"), F.col("_copy").cast("string"))
-    return exploded.withColumns(
-        {
-            id_column: F.when(original, row_id).otherwise(marked),
-            text: F.when(original, F.col(text)).otherwise(
-                apply(F.col(text), F.col(id_column), F.col("_copy"))
-            ),
-        }
-    ).drop("_copy")
+    changed = apply(F.col(text), F.col(id_column), F.col("_copy"))
+    # the text first: its draws depend on the original id
+    return (
+        exploded.withColumn(text, F.when(original, F.col(text)).otherwise(changed))
+        .withColumn(id_column, F.when(original, row_id).otherwise(marked))
+        .drop("_copy")
+    )

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.functions.losses import asymmetric_cell, asymmetric_single_label, bce_with_logits
 
@@ -31,11 +31,21 @@ def logit_cells(
     return df.select(*group, F.inline(F.array(*cells)))
 
 
-def _weighted(cells: DataFrame, weights: DataFrame | None) -> tuple[DataFrame, object]:
+def _weighted(
+    cells: DataFrame, weights: DataFrame | None, labels: Sequence[str]
+) -> tuple[DataFrame, Column | None]:
+    """The cells and the weight of their label, matched by name.
+
+    The weights become one map with a key per label, looked up in place: joining on
+    the label would shuffle all cells to as few tasks as there are labels.
+    """
     if weights is None:
         return cells, None
-    # one row per label: bounded by the label list, matched by name
-    return cells.join(F.broadcast(weights.select("label", "pos_weight")), "label"), F.col("pos_weight")
+    listed = weights.filter(F.col("label").isin(list(labels)))
+    by_name = listed.agg(F.map_from_entries(F.collect_list(F.struct("label", "pos_weight"))).alias("m"))
+    found = F.try_element_at(F.col("_weights"), F.col("label"))
+    missing = F.raise_error(F.concat(F.lit("no weight for label "), F.col("label"))).cast("double")
+    return cells.withColumn("_weights", by_name.scalar()), F.coalesce(found, missing)
 
 
 def bce_loss(
@@ -45,7 +55,7 @@ def bce_loss(
     group: Sequence[str] = (),
 ) -> DataFrame:
     """Mean binary cross-entropy over all cells, optionally weighted by label."""
-    cells, weight = _weighted(logit_cells(df, labels, group), weights)
+    cells, weight = _weighted(logit_cells(df, labels, group), weights, labels)
     return cells.groupBy(*group).agg(
         F.avg(bce_with_logits(F.col("x"), F.col("y"), weight)).alias("bce")
     )
@@ -62,7 +72,7 @@ def asymmetric_loss(
     group: Sequence[str] = (),
 ) -> DataFrame:
     """Sum of the asymmetric loss over all cells."""
-    cells, weight = _weighted(logit_cells(df, labels, group), weights)
+    cells, weight = _weighted(logit_cells(df, labels, group), weights, labels)
     cell = asymmetric_cell(F.col("x"), F.col("y"), gamma_neg, gamma_pos, clip, eps, weight)
     return cells.groupBy(*group).agg(F.sum(cell).alias("asymmetric_loss"))
 

@@ -25,8 +25,9 @@ def best_epoch(
     than half of ``num_epochs`` are over; later rows are ignored. ``best_epoch`` is
     null when no epoch counted.
 
-    Which epoch is best depends on the path, so a run's rows are folded in order. A
-    run has one row per epoch, hence at most ``num_epochs`` rows.
+    Which epoch is best depends on the path, so a run's rows are folded in order. They
+    are first combined to one row per epoch, so a run is never more than ``num_epochs``
+    rows, whatever was logged.
     """
     steps = F.sort_array(
         F.collect_list(
@@ -53,8 +54,9 @@ def best_epoch(
         return F.when(state["stop"].isNotNull(), state).otherwise(moved)
 
     in_run = log.filter((F.col(epoch) >= 0) & (F.col(epoch) < num_epochs))
+    per_epoch = in_run.groupBy(run, epoch).agg(F.max(score).alias(score))
     return (
-        in_run.groupBy(run)
+        per_epoch.groupBy(run)
         .agg(F.aggregate(steps, start, advance).alias("end"))
         .select(
             run,
