@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelloom.functions.portable import uniform
+from labelloom.sources.tables import spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +30,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, *keys: str) -> DataFrame:
+    """A table with long texts, spread over the cores when its file is small."""
+    path = f"{folder}/{name}.parquet"
+    return spread_small(spark.read.parquet(path).select(*keys, "text"), path, *keys)
+
+
 def sql_uniform(seed: str, *keys: str) -> str:
     """SQL of :func:`labelloom.functions.portable.uniform`; keys are SQL expressions."""
     joined = ", ".join([f"'{seed}'", *keys])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from labelloom.catalog.registry import query, rounded, sql_uniform, table
+from labelloom.catalog.registry import query, rounded, sql_uniform, table, texts
 from labelloom.functions.text import (
     attention_mask,
     pad_tokens,
@@ -42,7 +42,7 @@ def stance_prefix(spark: SparkSession, d: str) -> DataFrame:
         SELECT doc_id, len(words)::INTEGER AS words, md5(array_to_string(words, ' ')) AS digest FROM t""",
 )
 def tokenize_words(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select("doc_id", word_tokens(F.col("text")).alias("words"))
+    words = texts(spark, d, "documents", "doc_id").select("doc_id", word_tokens(F.col("text")).alias("words"))
     return words.select("doc_id", F.size("words").alias("words"), F.md5(F.array_join("words", " ")).alias("digest"))
 
 
@@ -57,7 +57,7 @@ def tokenize_words(spark: SparkSession, d: str) -> DataFrame:
 def padded(spark: SparkSession, d: str) -> DataFrame:
     words = word_tokens(F.col("text"))
     ids = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"))
-    turns = table(spark, d, "conversations").select("conv_id", "turn", ids.alias("ids"))
+    turns = texts(spark, d, "conversations", "conv_id", "turn").select("conv_id", "turn", ids.alias("ids"))
     return turns.select(
         "conv_id",
         "turn",
@@ -87,7 +87,7 @@ SQL_TURNS = r"""turns AS (
         SELECT id, array_to_string({sql_swapped('words', '2', 'id')}, ' ') AS text FROM turns""",
 )
 def swap_words(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").select(turn_id().alias("id"), split_words(F.col("text")).alias("words"))
+    turns = texts(spark, d, "conversations", "conv_id", "turn").select(turn_id().alias("id"), split_words(F.col("text")).alias("words"))
     swapped = swap_adjacent(F.col("words"), swap_rounds(F.col("words")), 2, "id")
     return turns.select("id", F.array_join(swapped, " ").alias("text"))
 
@@ -102,7 +102,7 @@ def swap_words(spark: SparkSession, d: str) -> DataFrame:
         FROM copies""",
 )
 def augment_rate(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").select(turn_id().alias("id"), "text")
+    turns = texts(spark, d, "conversations", "conv_id", "turn").select(turn_id().alias("id"), "text")
     return augment(turns, 3.6, "id", "text")
 
 
@@ -124,7 +124,7 @@ def letter_shares():
        SELECT doc_id, unnest(range(0, 6))::INTEGER AS pos, round(unnest(x)::FLOAT::DOUBLE, 6) AS x FROM v""",
 )
 def encode_texts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d, "documents", "doc_id")
     encoded = model_encoder(letter_shares)(docs, "text", "embedding")
     cells = encoded.select("doc_id", F.posexplode("embedding").alias("pos", "x"))
     return cells.withColumn("x", rounded(F.col("x").cast("double")))

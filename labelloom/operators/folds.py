@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from labelloom.functions.portable import uniform
+from labelloom.functions.vectors import bind
 from labelloom.operators.positions import BUCKET_DIGITS, bucket_offsets, order_key
 
 # Six folds, shuffled with seed 2.
@@ -41,30 +42,34 @@ def assign_folds(
         return df.withColumn(out, F.lit(1))
     keyed = df.withColumn("_order", order_key(seed, keys))
     borders = _border_keys(keyed.select("_order"), folds)
+    # bound once: the optimizer would otherwise hash the row anew for every border
+    passed = bind(
+        F.col("_order"),
+        lambda key: F.size(F.filter(F.col("_borders"), lambda border: border <= key)),
+    )
     with_borders = keyed.withColumn("_borders", borders.scalar())
-    passed = F.filter(F.col("_borders"), lambda b: b <= F.col("_order"))
-    return with_borders.withColumn(out, F.size(passed) + 1).drop("_order", "_borders")
+    return with_borders.withColumn(out, passed + 1).drop("_order", "_borders")
 
 
 def _border_keys(keyed: DataFrame, folds: int) -> DataFrame:
     """One row: the sort keys at which the folds 2, 3, … begin."""
-    small, extra = F.floor(F.col("total") / folds), F.col("total") % folds
+    extra = F.col("total") % folds
+    small = ((F.col("total") - extra) / folds).cast("long")
     border_rows = F.transform(
         F.sequence(F.lit(1), F.lit(folds - 1)), lambda f: f * small + F.least(f, extra)
     )
-    borders = (
-        bucket_offsets(keyed, "_order")
-        .withColumn("border", F.explode(border_rows))
-        .filter((F.col("border") >= F.col("start")) & (F.col("border") < F.col("start") + F.col("rows")))
-        .select("bucket", (F.col("border") - F.col("start") + 1).alias("rank"))
+    start, end = F.col("start"), F.col("start") + F.col("rows")
+    inside = F.filter(border_rows, lambda row: (row >= start) & (row < end))
+    borders = bucket_offsets(keyed, "_order").select(
+        "bucket", F.transform(inside, lambda row: row - start + 1).alias("ranks")
     )
     in_bucket = Window.partitionBy("bucket").orderBy("_order")
     ranked = (
         keyed.withColumn("bucket", F.substring("_order", 1, BUCKET_DIGITS))
-        # at most folds - 1 buckets: a list that small may be broadcast
-        .join(F.broadcast(borders.select("bucket").distinct()), "bucket", "left_semi")
+        # at most folds - 1 buckets are left: a list that small may be broadcast
+        .join(F.broadcast(borders.filter(F.size("ranks") > 0)), "bucket")
         .withColumn("rank", F.row_number().over(in_bucket).cast("long"))
-        .join(F.broadcast(borders), ["bucket", "rank"], "left_semi")
+        .filter(F.array_contains("ranks", F.col("rank")))
     )
     return ranked.agg(F.sort_array(F.collect_list("_order")).alias("borders"))
 
