@@ -33,7 +33,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, folder: str, name: str, *keys: str) -> DataFrame:
     """A table with long texts, spread over the cores when its file is small."""
     path = f"{folder}/{name}.parquet"
-    return spread_small(spark.read.parquet(path).select(*keys, "text"), path, *keys)
+    return spread_small(spark.read.parquet(path).select(*keys, "text"), path, keys[0])
 
 
 def sql_uniform(seed: str, *keys: str) -> str:

@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.catalog.labels import weight_lines, place_taxonomy
+from labelloom.catalog.labels import SQL_VOTED, place_taxonomy, weight_lines
 from labelloom.catalog.metrics import MACRO, SQL_MACRO, SQL_MACRO_OUT, sql_scored
-from labelloom.catalog.registry import LABELS, SQL_JUDGED, judged, query, rounded, sql_order, table
+from labelloom.catalog.registry import (
+    LABELS,
+    SQL_JUDGED,
+    fold_predictions,
+    judged,
+    query,
+    rounded,
+    sql_order,
+    table,
+    texts,
+)
 from labelloom.catalog.terms import SQL_MARGINS, STOP_WORDS, documents, hashed_model, labelled
 from labelloom.functions.labels import one_hot
-from labelloom.operators.folds import assign_folds
+from labelloom.operators.columns import label_dataset as make_dataset
+from labelloom.operators.folds import assign_folds, fold_pair
 from labelloom.operators.inference import embed_descriptions, hashed_encoder
 from labelloom.operators.linear import predict_svm
+from labelloom.operators.positions import row_position
 from labelloom.operators.rollup import label_descriptions
 from labelloom.plans.evaluate import evaluate_files
-from labelloom.plans.predict import predict_text_model
+from labelloom.plans.predict import ensemble_vote, predict_text_model
 from labelloom.plans.train import build_fold_index
 from labelloom.session import new_path
 from labelloom.sources import (
@@ -23,6 +35,7 @@ from labelloom.sources import (
     parse_taxonomy,
     read_arguments,
     read_labels,
+    read_predictions,
     read_taxonomy_lines,
     read_weights,
     save_index,
@@ -34,7 +47,7 @@ from labelloom.sources import (
 
 def arguments(spark: SparkSession, d: str) -> DataFrame:
     """Documents as arguments, each text on one line."""
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents", "doc_id", "source", "lang").select(
         F.col("doc_id").cast("string").alias("Argument ID"),
         F.col("source").alias("Conclusion"),
         F.when(F.col("lang") == "en", "against").otherwise("in favor of").alias("Stance"),
@@ -159,3 +172,37 @@ def text_predict(spark: SparkSession, d: str) -> DataFrame:
 
     docs = arguments(spark, d)
     return predict_text_model(docs, encoder, scorer, index, LABELS)
+
+
+@query(
+    "predict_tsv",
+    f"""WITH {SQL_VOTED}
+        SELECT doc_id::VARCHAR AS "Argument ID", quality, toxic FROM voted""",
+)
+def predict_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """The prediction job: fold predictions, vote, input order, file."""
+    path = new_path(spark, "predictions")
+    docs = row_position(table(spark, d, "documents").select("doc_id"), ["doc_id"])
+    stacked = fold_predictions(spark, d)
+    folds = [stacked.filter(F.col("fold") == k).drop("fold") for k in range(1, 7)]
+    write_tsv(by_argument(ensemble_vote(docs, folds, LABELS, "doc_id", "row_pos")), path)
+    return read_predictions(spark, path)
+
+
+@query(
+    "label_dataset",
+    f"""WITH f AS (SELECT *, ntile(6) OVER (ORDER BY {sql_order('2', 'doc_id')}) AS fold FROM labels JOIN documents USING (doc_id))
+        SELECT CASE WHEN fold = 1 THEN 'test' ELSE 'train' END AS part, md5(text) AS digest,
+               toxic AS first, quality AS second FROM f""",
+)
+def dataset(spark: SparkSession, d: str) -> DataFrame:
+    rows = assign_folds(labelled(spark, d).withColumnRenamed("text", "Premise"), ["doc_id"])
+    train, test = fold_pair(rows, 1)
+    train, test, _ = make_dataset(train, test, ["toxic", "missing", "quality"])
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.select(
+        "part",
+        F.md5("Premise").alias("digest"),
+        F.get("labels", F.lit(0)).alias("first"),
+        F.get("labels", F.lit(1)).alias("second"),
+    )

@@ -227,3 +227,25 @@ def test_stream_scores_like_the_batch(spark, files, tmp_path):
     expected = with_stance_prefix(read_arguments(spark, str(files / "arguments.tsv")))
     found = spark.read.parquet(str(tmp_path / "out")).select(expected.columns)
     assert sorted(found.collect()) == sorted(expected.collect())
+
+
+def test_command_line_trains_predicts_and_evaluates(spark, tmp_path, capsys):
+    from labelloom.__main__ import main
+
+    names = ["Zeal", "Calm: deep"]
+    rows = [(f"A{i:02d}", "trees", "against" if i % 3 else "in favor of",
+             f"argument {'quick bold' if i % 2 else 'still calm'} number{i % 5}") for i in range(36)]
+    (tmp_path / "a.tsv").write_text("Argument ID\tConclusion\tStance\tPremise\n" + "".join("\t".join(r) + "\n" for r in rows))
+    (tmp_path / "l.tsv").write_text(
+        "Argument ID\t" + "\t".join(names) + "\n" + "".join(f"A{i:02d}\t{i % 2}\t{1 - i % 2}\n" for i in range(36))
+    )
+    (tmp_path / "t.json").write_text('{"Zeal": {"Be quick": []}, "Calm: deep": {"Be still": []}}')
+    path = {n: str(tmp_path / n) for n in ("a.tsv", "l.tsv", "t.json", "models", "out")}
+    main(["train", path["a.tsv"], path["l.tsv"], path["t.json"], path["models"], "--folds", "2"])
+    main(["predict", path["models"], path["t.json"], path["out"], path["a.tsv"], "--folds", "2"])
+    main(["evaluate", path["l.tsv"], path["out"]])
+    assert "Calm: deep" in capsys.readouterr().out
+    result = evaluate_files(spark, path["l.tsv"], path["out"])
+    assert result.macro.first()["macro_f1"] == 1.0
+    held = spark.read.option("sep", "\t").option("header", True).csv(f"{path['models']}/tables")
+    assert held.filter("split = 'valid'").count() == 36 and held.filter("split = 'train'").count() == 36
