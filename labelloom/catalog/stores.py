@@ -35,7 +35,6 @@ from labelloom.sources import (
     parse_taxonomy,
     read_arguments,
     read_labels,
-    read_predictions,
     read_taxonomy_lines,
     read_weights,
     save_index,
@@ -186,7 +185,7 @@ def predict_tsv(spark: SparkSession, d: str) -> DataFrame:
     stacked = fold_predictions(spark, d)
     folds = [stacked.filter(F.col("fold") == k).drop("fold") for k in range(1, 7)]
     write_tsv(by_argument(ensemble_vote(docs, folds, LABELS, "doc_id", "row_pos")), path)
-    return read_predictions(spark, path)
+    return read_labels(spark, path, LABELS)
 
 
 @query(

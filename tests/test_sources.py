@@ -84,7 +84,7 @@ def test_labels_come_in_the_asked_order(spark, files):
 
 def test_evaluate_files(spark, files):
     guess = files / "guess.tsv"
-    guess.write_text("Argument ID\tJoy: small\tJoy: big\nA3\t1\t0\nA1\t0\t0\nA2\t0\t0\n")
+    guess.write_text("Argument ID\tJoy: small\tJoy: big\nA3\t1.0\t0\nA1\t0.0\t0.4\nA2\t0.0\t0\n")
     result = evaluate_files(spark, str(files / "labels.tsv"), str(guess))
     found = {r["label"]: r for r in result.per_label.collect()}
     assert found["Joy: small"]["recall"] == 0.5 and found["Joy: big"]["f1"] == 0.0
