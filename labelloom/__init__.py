@@ -1,5 +1,9 @@
 """Multi-label text classification data work as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from labelloom.functions.losses import asymmetric_cell
 from labelloom.operators.columns import MissingColumnError, predict_one_baseline
 from labelloom.operators.combine import AlignmentError
@@ -7,6 +11,10 @@ from labelloom.operators.linear import LinearModel, predict_svm, train_svm
 from labelloom.operators.losses import asymmetric_loss
 from labelloom.plans import build_fold_index, evaluate, evaluate_files, predict_text_model
 
+# Functions of this package travel to the Python workers as code, so the package need not
+# be installed on every executor.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "AlignmentError",
     "LinearModel",
