@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelloom.llm import fm_index, mixing, simhash
+from labelloom.llm import fm_index, importance, lines, mixing, simhash
 from labelloom.llm.common import stored, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling rejects go."""
+    return importance.keep_sampled(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each group of near lines stays; documents stay, with what is left of them."""
+    return lines.dedup(docs)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     return simhash.one_per_group(docs, shingle=3, bits=2)
@@ -24,6 +34,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
     ("simhash near-dedup", near_copies),
     ("benchmark decontamination", decontamination),
     ("mixing", mixing_stage),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import fm_index, mixing, simhash, token_counts
+from labelloom.llm import fm_index, importance, lbl, lines, mixing, sanitise, simhash, token_counts, va_file
 from labelloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,15 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_importance(spark: SparkSession, folder: str) -> DataFrame:
+    sampled = importance.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return sampled.select("doc_id", "log_weight", "sample_key", "kept")
+
+
+def op3_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.report(table(spark, folder, "documents"))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, bits=2)
     return groups.select(
@@ -25,11 +34,23 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_va_file(spark: SparkSession, folder: str) -> DataFrame:
+    return va_file.top_k(table(spark, folder, "embeddings"), k=20, every=20, scale=64)
+
+
+def op7_sanitise(spark: SparkSession, folder: str) -> DataFrame:
+    return sanitise.report(table(spark, folder, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.token_counts(table(spark, folder, "documents"), str(model), limit=4096)
 
 
+def op9_lbl(spark: SparkSession, folder: str) -> DataFrame:
+    return lbl.scores(table(spark, folder, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = fm_index.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -37,8 +58,13 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_importance": op2_importance,
+    "op3_lines": op3_lines,
     "op5_simhash": op5_simhash,
+    "op6_va_file": op6_va_file,
+    "op7_sanitise": op7_sanitise,
     "op8_token_counts": op8_token_counts,
+    "op9_lbl": op9_lbl,
     "op10_decontamination": op10_decontamination,
 }
 
