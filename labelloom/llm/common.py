@@ -61,26 +61,26 @@ def keyed(df: DataFrame, *columns: Column | str) -> DataFrame:
     return df.select(*row_key(), *columns)
 
 
-#: Bits of a membership filter; it is always this large (1 MB), whatever it holds.
+#: Bits of a membership filter (1 MB); it is always this large, whatever it holds.
 FILTER_BITS = 1 << 23
 
 
-def membership_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit per value of a long column modulo the filter's size, as 131,072 words.
+def membership_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit per value of a long column modulo ``bits`` (a power of two), as ``bits / 64`` words.
 
-    It may pass values that are not there, never miss one, so an exact join must follow. A
+    It may pass values that are not there, never miss one, so an exact step must follow. A
     fuller filter passes more; results are the same.
     """
-    words = ids.groupBy(F.expr(f"shiftright(pmod(`{column}`, {FILTER_BITS}L), 6)").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {FILTER_BITS}L) & 63 AS int))")).alias("bits")
+    words = ids.groupBy(F.expr(f"shiftright(pmod(`{column}`, {bits}L), 6)").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {bits}L) & 63 AS int))")).alias("bits")
     )
-    found = words.toArrow()  # at most FILTER_BITS / 64 rows
-    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    found = words.toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits >> 6, np.int64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
 def in_filter(words: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of the int64 values the filter passes."""
-    bit = np.mod(values, FILTER_BITS)
+    bit = values & ((len(words) << 6) - 1)
     return (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1

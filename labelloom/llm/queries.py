@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import fm_index, importance, lbl, lines, mixing, sanitise, simhash, token_counts, va_file
+from labelloom.llm import fm_index, importance, lbl, lines, mixing, sanitise, simhash, suffix_dedup, token_counts, va_file
 from labelloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.report(table(spark, folder, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, folder, "documents"), length=200)
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, bits=2)
     return groups.select(
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_importance": op2_importance,
     "op3_lines": op3_lines,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_va_file": op6_va_file,
     "op7_sanitise": op7_sanitise,
