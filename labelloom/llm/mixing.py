@@ -145,11 +145,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.when(F.col("size") == 0, 1).otherwise(copies).cast("int")
     copied = joined.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1), copies)))
     cut = (F.col("epoch") > F.col("epochs")) & (F.col("part") < F.col("size"))
-    head = F.regexp_extract(
-        F.col("_lm_row.text"),
-        F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("part").cast("string"), F.lit("}")),
-        0,
-    )
+    # Words with the white space before them, as many as the part holds.
+    pieces = F.regexp_extract_all(F.col("_lm_row.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    head = F.array_join(F.slice(pieces, 1, F.col("part").cast("int")), "")
     out = [
         (F.when(cut, head).otherwise(F.col("_lm_row.text")) if c == "text" else F.col("_lm_row").getField(c)).alias(c)
         for c in columns
