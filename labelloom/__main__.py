@@ -1,6 +1,6 @@
 """Command line for the three jobs, run with ``spark-submit`` or ``python -m labelloom``.
 
-    evaluate LABELS.tsv PREDICTIONS.tsv
+    evaluate LABELS.tsv PREDICTIONS.tsv [--report FOLDER]
     train ARGUMENTS.tsv LABELS.tsv TAXONOMY.json MODELS [--folds 6] [--augment 0]
     predict MODELS TAXONOMY.json OUTPUT ARGUMENTS.tsv [ARGUMENTS.tsv …] [--folds 6]
 """
@@ -37,9 +37,12 @@ def level_names(spark: SparkSession, path: str, level: int) -> list[str]:
 
 def evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     result = evaluate_files(spark, args.labels, args.predictions)
-    result.per_label.select(
-        "label", *[F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")]
-    ).show(1000, truncate=False)
+    rounded = [F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")]
+    per_label = result.per_label.select("label", *rounded)
+    if args.report:
+        write_tsv(per_label, f"{args.report}/labels", mode="overwrite")
+        write_tsv(result.macro, f"{args.report}/macro", mode="overwrite")
+    per_label.show(per_label.count(), truncate=False)  # a row per label
     result.macro.show(truncate=False)
 
 
@@ -53,7 +56,7 @@ def train(spark: SparkSession, args: argparse.Namespace) -> None:
     for number, model in models.items():
         save_linear_model(model, f"{args.models}/fold={number}")
     write_fold_tables(prepared, f"{args.models}/tables", args.folds, "overwrite")
-    report.filter(F.col("label") == "avg-f1-score").orderBy("fold").show()
+    write_tsv(report, f"{args.models}/f1", mode="overwrite")
 
 
 def predict(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -74,6 +77,7 @@ def main(argv: list[str] | None = None) -> None:
     job = jobs.add_parser("evaluate")
     job.add_argument("labels")
     job.add_argument("predictions")
+    job.add_argument("--report")
     job.set_defaults(run=evaluate)
     job = jobs.add_parser("train")
     for name in ("arguments", "labels", "taxonomy", "models"):

@@ -88,14 +88,15 @@ def losses_per_epoch(spark: SparkSession, d: str) -> DataFrame:
     return epoch_loss(log, "turn").withColumn("train_loss", rounded("train_loss"))
 
 
-# A run per conversation, an epoch per turn: with these numbers some runs stop early.
-RUN_EPOCHS, RUN_PATIENCE = 10, 2
+# A run per conversation, an epoch per turn; with this patience some runs stop early.
+RUN_PATIENCE = 2
+RUN_EPOCHS = "(SELECT max(turn) + 1 FROM conversations)"
 
 SQL_BEST = f"""
 WITH RECURSIVE logged AS (
   SELECT conv_id, turn::INTEGER AS e, round({sql_uniform('f1', 'conv_id', 'turn')}, 6) AS s,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n
-  FROM conversations WHERE turn >= 0 AND turn < {RUN_EPOCHS}
+  FROM conversations
 ), walk AS (
   SELECT conv_id, 0::BIGINT AS n, 0.0::DOUBLE AS best, NULL::INTEGER AS best_at, 0 AS waited, NULL::INTEGER AS stop
   FROM (SELECT DISTINCT conv_id FROM logged)
@@ -104,7 +105,7 @@ WITH RECURSIVE logged AS (
          CASE WHEN l.s - w.best > 0.0002 THEN l.s ELSE w.best END,
          CASE WHEN l.s - w.best > 0.0002 THEN l.e ELSE w.best_at END,
          CASE WHEN l.s - w.best > 0.0002 THEN 0 ELSE w.waited + 1 END,
-         CASE WHEN l.s - w.best <= 0.0002 AND w.waited + 1 >= {RUN_PATIENCE} AND l.e > {RUN_EPOCHS // 2} THEN l.e END
+         CASE WHEN l.s - w.best <= 0.0002 AND w.waited + 1 >= {RUN_PATIENCE} AND l.e > {RUN_EPOCHS} // 2 THEN l.e END
   FROM walk w JOIN logged l ON l.conv_id = w.conv_id AND l.n = w.n + 1
   WHERE w.stop IS NULL
 )
@@ -118,4 +119,5 @@ def best(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "conversations").select(
         "conv_id", "turn", F.round(uniform("f1", "conv_id", "turn"), 6).alias("f1")
     )
-    return best_epoch(log, RUN_EPOCHS, "conv_id", "turn", "f1", patience=RUN_PATIENCE)
+    epochs = log.agg(F.max("turn")).first()[0]
+    return best_epoch(log, (epochs or 0) + 1, "conv_id", "turn", "f1", patience=RUN_PATIENCE)

@@ -200,13 +200,13 @@ def align_check(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "attach_by_position",
     """WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_pos FROM labels),
-            r AS (SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id) - 1 AS row_pos FROM embeddings)
-       SELECT row_pos, doc_id, vec_id, label FROM l JOIN r USING (row_pos)""",
+            r AS (SELECT doc_id AS other, quality, row_number() OVER (ORDER BY quality, doc_id) - 1 AS row_pos FROM labels)
+       SELECT row_pos, doc_id, other, quality FROM l FULL JOIN r USING (row_pos)""",
 )
 def attach(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "labels").select("doc_id")
-    vectors = table(spark, d, "embeddings").select("vec_id", "label")
-    return attach_by_position(ids, vectors, ["doc_id"], ["label", "vec_id"])
+    marks = table(spark, d, "labels").select(F.col("doc_id").alias("other"), "quality")
+    return attach_by_position(ids, marks, ["doc_id"], ["quality", "other"])
 
 
 @query(

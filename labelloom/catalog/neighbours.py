@@ -34,7 +34,10 @@ def mean_vector(spark: SparkSession, d: str) -> DataFrame:
 )
 def pair_distance(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    pairs = vectors.join(mean_vector_arrays(vectors, "label"), "label")
+    # One mean per label, looked up in a map: a join would send a label's vectors to one task.
+    means = mean_vector_arrays(vectors, "label")
+    by_label = means.agg(F.map_from_entries(F.collect_list(F.struct("label", "mean"))).alias("m")).scalar()
+    pairs = vectors.withColumn("mean", F.try_element_at(by_label, F.col("label")))
     gaps = pairs.select("vec_id", euclidean(F.col("embedding"), F.col("mean")).alias("distance"))
     return gaps.select(
         "vec_id",

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelloom.functions.portable import uniform
-from labelloom.sources.tables import spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,9 +30,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str, *keys: str) -> DataFrame:
-    """A table with long texts, spread over the cores when its file is small."""
-    path = f"{folder}/{name}.parquet"
-    return spread_small(spark.read.parquet(path).select(*keys, "text"), path, keys[0])
+    """The keys and texts of a table; how it is split is left to the session's read settings."""
+    return table(spark, folder, name).select(*keys, "text")
 
 
 def sql_uniform(seed: str, *keys: str) -> str:

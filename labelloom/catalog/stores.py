@@ -110,14 +110,14 @@ def weights_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "taxonomy_file",
-    """SELECT s_suppkey AS cat_pos, r_name AS category, 0::BIGINT AS val_pos, n_name AS value, s_name AS example
+    """SELECT s_suppkey AS part_pos, 0::BIGINT AS cat_pos, r_name AS category, 0::BIGINT AS val_pos, n_name AS value, s_name AS example
        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 )
 def taxonomy_file(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "taxonomy")
     place_taxonomy(spark, d).withColumnRenamed("s_suppkey", "pos").write.json(path)
     taxonomy = read_taxonomy_lines(spark, path)
-    return taxonomy.select("cat_pos", "category", "val_pos", "value", F.explode("examples").alias("example"))
+    return taxonomy.select("part_pos", "cat_pos", "category", "val_pos", "value", F.explode("examples").alias("example"))
 
 
 @query(

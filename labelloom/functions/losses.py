@@ -34,9 +34,10 @@ def asymmetric_cell(
     eps: float = 1e-8,
     pos_weight: Column | None = None,
 ) -> Column:
-    """Asymmetric loss of one logit ``x`` with target ``y`` in {0, 1}.
+    """Asymmetric loss of one logit ``x`` with target ``y`` between 0 and 1.
 
-    The two targets give two closed forms, so each row evaluates one branch only.
+    ``-(y ln p + (1-y) ln q) * (1 - (y p + (1-y) q)) ^ (y gamma_pos + (1-y) gamma_neg)``, with
+    ``q`` clipped. A null target gives null, so sums leave the cell out.
     """
     p = sigmoid(x)
     q = F.lit(1.0) - p
@@ -46,10 +47,12 @@ def asymmetric_cell(
     if pos_weight is not None:
         positive = pos_weight * positive
     negative = F.log(F.greatest(q, F.lit(eps)))
+    rest = F.lit(1.0) - y
+    loss = y * positive + rest * negative
     if gamma_neg > 0 or gamma_pos > 0:
-        positive = positive * F.pow(F.lit(1.0) - p, F.lit(float(gamma_pos)))
-        negative = negative * F.pow(F.lit(1.0) - q, F.lit(float(gamma_neg)))
-    return -F.when(y == 1, positive).otherwise(negative)
+        hit = y * p + rest * q
+        loss = loss * F.pow(F.lit(1.0) - hit, y * float(gamma_pos) + rest * float(gamma_neg))
+    return -loss
 
 
 def asymmetric_single_label(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from labelloom.operators.positions import row_position
+from labelloom.session import new_path
 
 
 class AlignmentError(ValueError):
@@ -30,11 +31,13 @@ def attach_by_position(
     """Put two tables side by side, row n of one beside row n of the other.
 
     For inputs that share no id. Both are numbered in a stated order and joined on
-    the number.
+    the number. Tables of unequal length raise when the result is computed.
     """
-    first = row_position(left, left_order)
-    second = row_position(right, right_order)
-    return first.join(second, "row_pos", "inner")
+    first = row_position(left, left_order).withColumn("_left", F.lit(True))
+    second = row_position(right, right_order).withColumn("_right", F.lit(True))
+    unequal = F.raise_error(F.lit("tables put side by side differ in length")).cast("boolean")
+    both = F.when(F.col("_left") & F.col("_right"), True).otherwise(unequal)
+    return first.join(second, "row_pos", "full").where(both).drop("_left", "_right")
 
 
 def restore_order(
@@ -79,13 +82,23 @@ def align(
 ) -> DataFrame:
     """``(id, t_<label>…, p_<label>…)`` for all labels, joined on the id.
 
-    ``check`` first runs :func:`alignment_report` and raises when the two sides do
-    not hold the same ids once each.
+    ``check`` runs :func:`alignment_report` over the joined ids and raises when the two
+    sides do not hold the same ids once each. The one join is stored for both uses.
     """
-    if check:
-        report = alignment_report(labels, predictions, id_column).first()
-        if report.only_labels or report.only_predictions or report.repeated_ids:
-            raise AlignmentError(f"labels and predictions differ: {report.asDict()}")
-    truth = labels.select(id_column, *[F.col(f"`{n}`").alias(f"t_{n}") for n in names])
-    guess = predictions.select(id_column, *[F.col(f"`{n}`").alias(f"p_{n}") for n in names])
-    return truth.join(guess, id_column, "inner")
+    truth = labels.select(id_column, F.lit(1).alias("_l"), *[F.col(f"`{n}`").alias(f"t_{n}") for n in names])
+    guess = predictions.select(id_column, F.lit(1).alias("_p"), *[F.col(f"`{n}`").alias(f"p_{n}") for n in names])
+    if not check:
+        return truth.join(guess, id_column, "inner").drop("_l", "_p")
+    spark = labels.sparkSession
+    path = new_path(spark, "aligned")
+    truth.join(guess, id_column, "full").write.parquet(path)
+    joined = spark.read.parquet(path)
+    found = joined.agg(
+        F.count_if(F.col("_p").isNull()).alias("only_labels"),
+        F.count_if(F.col("_l").isNull()).alias("only_predictions"),
+        F.count_if(F.col(f"`{id_column}`").isNull()).alias("null_ids"),
+        (F.count(F.lit(1)) - F.count_distinct(F.col(f"`{id_column}`"))).alias("repeated_rows"),
+    ).first()
+    if any(found):
+        raise AlignmentError(f"labels and predictions differ: {found.asDict()}")
+    return joined.drop("_l", "_p")

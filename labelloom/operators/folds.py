@@ -23,13 +23,16 @@ def assign_folds(
     group: str | None = None,
     exact: bool = True,
     out: str = "fold",
+    check: bool = False,
 ) -> DataFrame:
     """Add the fold (1-based) in which a row is held out for validation.
 
     ``exact``: sizes differ by at most one; the first ``n mod folds`` folds get one
     row more. The table itself is never shuffled: one counting pass finds the
     buckets that hold a fold border, only the rows of those few buckets are ranked,
-    and each row is then compared with the ``folds - 1`` border keys.
+    and each row is then compared with the ``folds - 1`` border keys. Rows that share
+    their keys share a fold, so the sizes hold for distinct keys only; ``check`` runs a
+    count first and raises on repeated keys.
 
     ``exact=False`` draws the fold from the key's hash alone (sizes are about even).
     ``group`` does the same with the group's hash, so that a group stays in one fold.
@@ -38,6 +41,10 @@ def assign_folds(
         drawn = uniform(seed, *([group] if group is not None else keys))
         return df.withColumn(out, F.floor(drawn * folds).cast("int") + 1)
 
+    if check:
+        again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").first()
+        if again is not None:
+            raise ValueError(f"keys are repeated, folds would be uneven: {again.asDict()}")
     if folds == 1:
         return df.withColumn(out, F.lit(1))
     keyed = df.withColumn("_order", order_key(seed, keys))

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.functions.losses import asymmetric_cell, asymmetric_single_label, bce_with_logits
 
@@ -104,18 +104,17 @@ def epoch_loss(log: DataFrame, epoch: str = "epoch", loss: str = "loss") -> Data
 def label_overlap(df: DataFrame, labels: Sequence[str], batch: str = "batch") -> DataFrame:
     """Per row the sum of label dot products with all other rows of its batch.
 
-    ``sum over j of y_i.y_j = y_i.(sum of y) - y_i.y_i``: one small row of label sums
-    per batch is joined back, no pair of rows is ever formed.
+    ``sum over j of y_i.y_j = y_i.(sum of y) - y_i.y_i``: the label sums of the batch come
+    from a window over it, no pair of rows is ever formed.
     """
-    sums = df.groupBy(batch).agg(
-        *[F.sum(F.col(f"`{n}`").cast("long")).alias(f"_sum_{i}") for i, n in enumerate(labels)]
-    )
+    own = Window.partitionBy(batch)
+    sums = {f"_sum_{i}": F.sum(F.col(f"`{n}`").cast("long")).over(own) for i, n in enumerate(labels)}
     overlap = None
     for i, n in enumerate(labels):
         y = F.col(f"`{n}`").cast("long")
         term = y * F.col(f"_sum_{i}") - y * y
         overlap = term if overlap is None else overlap + term
-    joined = df.join(sums, batch).withColumn("overlap", overlap)
+    joined = df.withColumns(sums).withColumn("overlap", overlap)
     return joined.drop(*[f"_sum_{i}" for i in range(len(labels))])
 
 
@@ -127,20 +126,24 @@ def contrastive_loss(
     labels: str = "labels",
     temperature: float = TEMPERATURE,
     anchor: str = "all",
+    most: int = 4096,
 ) -> DataFrame:
     """``(batch, contrastive)``: supervised contrastive loss of every training batch.
 
     Rows that share labels are pulled together, measured against all other rows of
     the batch. ``anchor="first"`` adds up only the batch's first row (by ``row_id``).
-    A batch has a fixed small size, so it is gathered as one array; the distances of
-    many batches are then computed at once on Arrow data.
+    A batch is gathered as one array, so it may have at most ``most`` rows; a larger one
+    raises. The distances of many batches are then computed at once on Arrow data.
     """
     member = F.struct(
         F.col(row_id).alias("row_id"),
         F.col(embedding).cast("array<double>").alias("x"),
         F.col(labels).cast("array<double>").alias("y"),
     )
-    gathered = df.groupBy(batch).agg(F.sort_array(F.collect_list(member)).alias("rows"))
+    large = F.raise_error(F.concat_ws(" ", F.lit("batch too large:"), F.col(batch)))
+    sizes = df.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(batch)))
+    checked = sizes.where(F.when(F.col("_size") <= most, True).otherwise(large.cast("boolean")))
+    gathered = checked.groupBy(batch).agg(F.sort_array(F.collect_list(member)).alias("rows"))
     flat = gathered.select(
         F.col(batch).cast("long").alias("batch"),
         F.size("rows").alias("size"),
@@ -164,7 +167,9 @@ def contrastive_loss(
 def _batch_loss(x: np.ndarray, y: np.ndarray, temperature: float, anchor: str) -> float:
     size = len(x)
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), TINY)
-    scaled = np.linalg.norm(unit[:, None, :] - unit[None, :, :], axis=2) / temperature
+    length = (unit * unit).sum(axis=1)
+    gap = length[:, None] + length[None, :] - 2.0 * (unit @ unit.T)
+    scaled = np.sqrt(np.maximum(gap, 0.0)) / temperature
     shared = y @ y.T
     np.fill_diagonal(shared, 0.0)
     near = np.exp(-scaled)

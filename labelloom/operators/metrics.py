@@ -29,7 +29,8 @@ def confusion(
     """``(group…, label, tp, fp, fn, tn)`` from columns ``t_<label>`` and ``p_<label>``.
 
     A cell is positive when it equals 1; every other value counts as 0. Both layouts
-    combine on the map side and shuffle only one small row per task and group.
+    combine on the map side and shuffle only one small row per task and group, and give
+    the same rows: without groups every label has one, with groups every group and label.
     """
     if layout == "auto":
         layout = "wide" if len(labels) <= WIDE_LABELS else "long"
@@ -52,11 +53,15 @@ def confusion(
         )
         for name in labels
     ]
-    cases = _cases(F.col("t"), F.col("p"))
-    return (
-        aligned.select(*group, F.inline(F.array(*cells)))
-        .groupBy(*group, "label")
-        .agg(*[F.count_if(case).alias(c) for c, case in zip(COUNTERS, cases)])
+    cases = [case & F.col("_real") for case in _cases(F.col("t"), F.col("p"))]
+    rows = aligned.select(*group, F.inline(F.array(*cells))).withColumn("_real", F.lit(True))
+    if not group:  # an empty table has its labels too
+        spark = aligned.sparkSession
+        names = spark.createDataFrame([(n,) for n in labels], "label string")
+        nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("t", "p")]
+        rows = rows.union(names.select("label", *nothing, F.lit(False)))
+    return rows.groupBy(*group, "label").agg(
+        *[F.count_if(case).alias(c) for c, case in zip(COUNTERS, cases)]
     )
 
 
@@ -120,15 +125,16 @@ def elementwise_accuracy(
 ) -> DataFrame:
     """Share of cells in which ``score > threshold`` agrees with the label.
 
-    Reads ``t_<label>`` and ``s_<label>``. One pass: the hits of a row are added up
-    before the aggregation.
+    Reads ``t_<label>`` and ``s_<label>``. A cell without a score or a label is no hit.
+    One pass: the hits of a row are added up before the aggregation.
     """
 
     def hit(name: str) -> Column:
         score = F.col(f"`s_{name}`")
         if as_logits:
             score = F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
-        return ((score > threshold) == (F.col(f"`t_{name}`") != 0)).cast("long")
+        agrees = (score > threshold) == (F.col(f"`t_{name}`") != 0)
+        return F.coalesce(agrees, F.lit(False)).cast("long")
 
     in_row = hit(labels[0])
     for name in labels[1:]:

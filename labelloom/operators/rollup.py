@@ -19,12 +19,12 @@ def taxonomy_levels(taxonomy: DataFrame) -> DataFrame:
                 F.struct(
                     F.lit(2).alias("level"),
                     F.col("category").alias("name"),
-                    F.struct("cat_pos", F.lit(0).cast("long").alias("val_pos")).alias("at"),
+                    F.struct("part_pos", "cat_pos", F.lit(0).cast("long").alias("val_pos")).alias("at"),
                 ),
                 F.struct(
                     F.lit(1).alias("level"),
                     F.col("value").alias("name"),
-                    F.struct("cat_pos", "val_pos").alias("at"),
+                    F.struct("part_pos", "cat_pos", "val_pos").alias("at"),
                 ),
             )
         )
@@ -37,7 +37,7 @@ def taxonomy_levels(taxonomy: DataFrame) -> DataFrame:
 def label_descriptions(taxonomy: DataFrame) -> DataFrame:
     """``(category, description)``: the category followed by its values, joined by blanks."""
     values = taxonomy.groupBy("category", "value").agg(
-        F.min(F.struct("cat_pos", "val_pos")).alias("at")
+        F.min(F.struct("part_pos", "cat_pos", "val_pos")).alias("at")
     )
     listed = values.groupBy("category").agg(
         F.sort_array(F.collect_list(F.struct("at", "value"))).alias("values")

@@ -22,12 +22,12 @@ def best_epoch(
 
     A new best must beat the old one by more than ``min_gain`` (the first is measured
     against 0). The run stops once ``patience`` epochs passed without one and more
-    than half of ``num_epochs`` are over; later rows are ignored. ``best_epoch`` is
-    null when no epoch counted.
+    than half of ``num_epochs`` are over; what follows cannot change it. ``best_epoch``
+    is null when no epoch counted. An epoch that is null, outside ``0 … num_epochs - 1``
+    or logged twice in a run raises when the result is computed.
 
     Which epoch is best depends on the path, so a run's rows are folded in order. They
-    are first combined to one row per epoch, so a run is never more than ``num_epochs``
-    rows, whatever was logged.
+    are first counted per epoch, so a run is never more than ``num_epochs`` rows.
     """
     steps = F.sort_array(
         F.collect_list(
@@ -53,8 +53,10 @@ def best_epoch(
         )
         return F.when(state["stop"].isNotNull(), state).otherwise(moved)
 
-    in_run = log.filter((F.col(epoch) >= 0) & (F.col(epoch) < num_epochs))
-    per_epoch = in_run.groupBy(run, epoch).agg(F.max(score).alias(score))
+    fits = F.coalesce((F.col(epoch) >= 0) & (F.col(epoch) < num_epochs) & (F.col("_rows") == 1), F.lit(False))
+    named = F.concat_ws(" ", F.lit("epoch out of range or repeated:"), F.col(run), F.col(epoch))
+    per_epoch = log.groupBy(run, epoch).agg(F.max(score).alias(score), F.count(F.lit(1)).alias("_rows"))
+    per_epoch = per_epoch.where(F.when(fits, True).otherwise(F.raise_error(named).cast("boolean")))
     return (
         per_epoch.groupBy(run)
         .agg(F.aggregate(steps, start, advance).alias("end"))

@@ -12,7 +12,6 @@ from labelloom.sources.tables import (
     read_arguments,
     read_labels,
     read_predictions,
-    spread_small,
     write_tsv,
 )
 from labelloom.sources.taxonomy import parse_taxonomy, read_taxonomy, read_taxonomy_lines
@@ -33,7 +32,6 @@ __all__ = [
     "read_weights",
     "save_index",
     "save_linear_model",
-    "spread_small",
     "write_fold_tables",
     "write_tsv",
 ]

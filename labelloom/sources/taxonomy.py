@@ -8,20 +8,23 @@ TAXONOMY_TYPE = "map<string, map<string, array<string>>>"
 
 
 def parse_taxonomy(df: DataFrame, json: str = "json", position: Column | None = None) -> DataFrame:
-    """``(cat_pos, category, val_pos, value, examples)`` from JSON objects, in key order.
+    """``(part_pos, cat_pos, category, val_pos, value, examples)`` from JSON objects, in key order.
 
-    Each row holds one object. With a ``position`` column several objects are parts of
-    one taxonomy and that column orders them; without it the rows' own key order counts.
+    Each row holds one object. Several objects are parts of one taxonomy: ``position``
+    orders them, or without it the order of the rows. Categories are ordered by part and,
+    in a part, by place.
     """
-    base = F.lit(0).cast("long") if position is None else position.cast("long")
+    base = F.monotonically_increasing_id() if position is None else position.cast("long")
     entries = F.map_entries(F.from_json(F.col(json), TAXONOMY_TYPE))
     categories = df.select(base.alias("_base"), F.posexplode(entries).alias("_at", "_category"))
     values = categories.select(
-        (F.col("_base") + F.col("_at")).alias("cat_pos"),
+        F.col("_base").alias("part_pos"),
+        F.col("_at").cast("long").alias("cat_pos"),
         F.col("_category.key").alias("category"),
         F.posexplode(F.map_entries("_category.value")).alias("_val", "_value"),
     )
     return values.select(
+        "part_pos",
         "cat_pos",
         "category",
         F.col("_val").cast("long").alias("val_pos"),

@@ -8,19 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from labelloom.operators.columns import with_default
 from labelloom.sources.tables import CONCLUSION, ID, PREMISE, STANCE, TAB, USAGE
 
-ARGUMENTS = T.StructType([T.StructField(c, T.StringType()) for c in (ID, CONCLUSION, STANCE, PREMISE)])
+ARGUMENTS = T.StructType([T.StructField(c, T.StringType()) for c in (ID, CONCLUSION, STANCE, PREMISE, USAGE)])
 
 
 def stream_arguments(spark: SparkSession, folder: str, default_usage: str = "test") -> DataFrame:
-    """New argument files below ``folder`` as a streaming table."""
+    """New argument files below ``folder`` as a streaming table.
+
+    The fifth column, the usage, may be missing in a file or empty in a row; the default
+    stands in for it.
+    """
     reader = spark.readStream.schema(ARGUMENTS).option("sep", TAB).option("header", True)
-    return with_default(reader.option("quote", "").option("escape", "").csv(folder), USAGE, default_usage)
+    rows = reader.option("quote", "").option("escape", "").csv(folder)
+    return rows.withColumn(USAGE, F.coalesce(F.col(USAGE), F.lit(default_usage)))
 
 
 def write_stream(
