@@ -3,6 +3,8 @@
     evaluate LABELS.tsv PREDICTIONS.tsv [--report FOLDER]
     train ARGUMENTS.tsv LABELS.tsv TAXONOMY.json MODELS [--folds 6] [--augment 0]
     predict MODELS TAXONOMY.json OUTPUT ARGUMENTS.tsv [ARGUMENTS.tsv …] [--folds 6]
+
+Both take --stop-words english (the default), none, or the path of a file with one word a line.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import argparse
 
 from pyspark.sql import SparkSession, functions as F
 
+from labelloom.functions.text import english_stop_words
 from labelloom.operators.columns import preview, stack
 from labelloom.operators.metrics import table_profile
 from labelloom.operators.linear import predict_svm
@@ -35,6 +38,13 @@ def level_names(spark: SparkSession, path: str, level: int) -> list[str]:
     return [r["name"] for r in names.orderBy("pos").collect()]
 
 
+def stop_words(spark: SparkSession, choice: str) -> tuple[str, ...]:
+    """English words, none, or the lines of a file (a list short enough for a plan)."""
+    if choice in ("english", "none"):
+        return english_stop_words() if choice == "english" else ()
+    return tuple(r["value"] for r in spark.read.text(choice).collect() if r["value"])
+
+
 def evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     result = evaluate_files(spark, args.labels, args.predictions)
     rounded = [F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")]
@@ -52,7 +62,9 @@ def train(spark: SparkSession, args: argparse.Namespace) -> None:
     prepared = prepare(arguments, read_labels(spark, args.labels, names), args.folds)
     table_profile(prepared).show()
     preview(prepared, [ID]).show()
-    models, report = cross_validate_svm(prepared, names, args.folds, args.augment)
+    models, report = cross_validate_svm(
+        prepared, names, args.folds, args.augment, stop_words=stop_words(spark, args.stop_words)
+    )
     for number, model in models.items():
         save_linear_model(model, f"{args.models}/fold={number}")
     write_fold_tables(prepared, f"{args.models}/tables", args.folds, "overwrite")
@@ -63,8 +75,9 @@ def predict(spark: SparkSession, args: argparse.Namespace) -> None:
     arguments = stack(*[read_arguments(spark, path, "test") for path in args.arguments])
     names = level_names(spark, args.taxonomy, args.level)
     placed = row_position(arguments, [ID])
+    words = stop_words(spark, args.stop_words)
     folds = [
-        predict_svm(placed, load_linear_model(spark, f"{args.models}/fold={n}"))
+        predict_svm(placed, load_linear_model(spark, f"{args.models}/fold={n}"), stop_words=words)
         for n in range(1, args.folds + 1)
     ]
     voted = ensemble_vote(placed, folds, names, position="row_pos")
@@ -92,6 +105,7 @@ def main(argv: list[str] | None = None) -> None:
     for each in (job, other):
         each.add_argument("--folds", type=int, default=6)
         each.add_argument("--level", type=int, default=2)
+        each.add_argument("--stop-words", default="english")
     args = parser.parse_args(argv)
     args.run(SparkSession.builder.appName("labelloom").getOrCreate(), args)
 

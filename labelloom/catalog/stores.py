@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.catalog.labels import SQL_VOTED, place_taxonomy, weight_lines
+from labelloom.catalog.labels import SQL_PLACES, SQL_VOTED, place_taxonomy, weight_lines
 from labelloom.catalog.metrics import MACRO, SQL_MACRO, SQL_MACRO_OUT, sql_scored
 from labelloom.catalog.registry import (
     LABELS,
@@ -148,23 +148,83 @@ def linear_model_store(spark: SparkSession, d: str) -> DataFrame:
     return predict_svm(documents(spark, d), load_linear_model(spark, path), "doc_id", "text", STOP_WORDS)
 
 
-@query("text_index")
-def text_index(spark: SparkSession, d: str) -> DataFrame:
+def sql_hashed(source: str, key: str, text: str) -> str:
+    """SQL of :func:`hashed_encoder` with 64 places: ``(key, pos, x)``, as the last of some tables."""
+    return rf"""words AS (
+  SELECT {key} AS k, unnest(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}')) AS w FROM {source}
+), places AS (
+  SELECT k, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos, count(*) AS c FROM words GROUP BY ALL
+), grid AS (
+  SELECT {key} AS k, r.pos FROM {source}, range(0, 64) AS r(pos)
+), vec AS (
+  SELECT k, pos::INTEGER AS pos,
+         (coalesce(c, 0) / greatest(1, sqrt(sum(coalesce(c, 0) * coalesce(c, 0)) OVER (PARTITION BY k))))::FLOAT::DOUBLE AS x
+  FROM grid LEFT JOIN places USING (k, pos)
+)"""
+
+
+def hashed_index(spark: SparkSession, d: str) -> DataFrame:
     docs = assign_folds(labelled(spark, d), ["doc_id"])
     return build_fold_index(docs, LABELS, hashed_encoder(64), "doc_id", "text", add_prefix=False)
 
 
-@query("label_embeddings")
+@query(
+    "text_index",
+    f"""WITH l AS (SELECT doc_id, text, quality, toxic, ntile(6) OVER (ORDER BY {sql_order('2', 'doc_id')}) AS fold
+                   FROM documents JOIN labels USING (doc_id)), {sql_hashed('l', 'doc_id', 'text')}
+        SELECT fold::INTEGER AS fold, doc_id AS row_id, quality, toxic, pos, round(x, 6) AS x
+        FROM vec JOIN l ON k = doc_id""",
+)
+def text_index(spark: SparkSession, d: str) -> DataFrame:
+    marks = [F.get("labels", F.lit(i)).alias(n) for i, n in enumerate(LABELS)]
+    cells = hashed_index(spark, d).select("fold", "row_id", *marks, F.posexplode("embedding").alias("pos", "x"))
+    return cells.withColumn("x", rounded(F.col("x").cast("double")))
+
+
+@query(
+    "label_embeddings",
+    f"""WITH {SQL_PLACES}, firsts AS (
+          SELECT category, value, min(s_suppkey) AS first_at FROM places GROUP BY ALL
+        ), described AS (
+          SELECT category, category || ' ' || string_agg(value, ' ' ORDER BY first_at, value) AS description
+          FROM firsts GROUP BY category
+        ), {sql_hashed('described', 'category', 'description').replace('places', 'spots')}
+        SELECT k AS category, pos, round(x, 6) AS x FROM vec""",
+)
 def label_embeddings(spark: SparkSession, d: str) -> DataFrame:
     taxonomy = parse_taxonomy(place_taxonomy(spark, d), "json", F.col("s_suppkey"))
-    return embed_descriptions(label_descriptions(taxonomy), hashed_encoder(64))
+    encoded = embed_descriptions(label_descriptions(taxonomy), hashed_encoder(64))
+    cells = encoded.select("category", F.posexplode("embedding").alias("pos", "x"))
+    return cells.withColumn("x", rounded(F.col("x").cast("double")))
+
+
+def _vectors(name: str) -> str:
+    return f"SELECT k, list(x ORDER BY pos) AS x FROM {name} GROUP BY k"
+
+
+SQL_TEXT_PREDICT = rf"""WITH a AS (
+  SELECT doc_id, CASE WHEN lang = 'en' THEN 'I disagree that ' ELSE 'I agree that ' END
+         || source || ', because ' || trim(regexp_replace(text, '\s+', ' ', 'g')) AS premise FROM documents
+), {sql_hashed('a', 'doc_id', 'premise')}, asked AS ({_vectors('vec')}
+), l AS (SELECT doc_id, text, quality, toxic FROM documents JOIN labels USING (doc_id)
+), {sql_hashed('l', 'doc_id', 'text').replace('words', 'words2').replace('places', 'places2').replace('grid', 'grid2')
+    .replace('vec', 'vec2')}, indexed AS ({_vectors('vec2')}
+), near AS (
+  SELECT asked.k, asked.x[1] AS first, quality, toxic, list_distance(asked.x, indexed.x) AS distance
+  FROM asked, indexed JOIN l ON l.doc_id = indexed.k
+  QUALIFY row_number() OVER (PARTITION BY asked.k ORDER BY list_distance(asked.x, indexed.x), indexed.k) <= 32
+)
+SELECT k::VARCHAR AS "Argument ID",
+       (0.75 * 0.5 + 0.25 * sum(exp(-distance) * quality) / sum(exp(-distance)) > 0.5)::INTEGER AS quality,
+       (0.75 * any_value(first) + 0.25 * sum(exp(-distance) * toxic) / sum(exp(-distance)) > 0.5)::INTEGER AS toxic
+FROM near GROUP BY k"""
 
 
-@query("text_predict")
+@query("text_predict", SQL_TEXT_PREDICT)
 def text_predict(spark: SparkSession, d: str) -> DataFrame:
     """Texts scored through an index of the labelled ones, with hashed words as the model."""
     encoder = hashed_encoder(64)
-    index = text_index(spark, d).drop("fold")
+    index = hashed_index(spark, d).drop("fold")
 
     def scorer(df: DataFrame, text: str, out: str) -> DataFrame:
         return df.withColumn(out, F.array(F.lit(0.5), F.get("embedding", F.lit(0)).cast("double")))

@@ -22,6 +22,7 @@ from labelloom.functions.text import (
     stance_premise,
     swap_adjacent,
     swap_rounds,
+    english_stop_words,
     word_tokens,
 )
 from labelloom.functions.vectors import (
@@ -60,5 +61,6 @@ __all__ = [
     "swap_rounds",
     "uniform",
     "vector_columns",
+    "english_stop_words",
     "word_tokens",
 ]

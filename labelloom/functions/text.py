@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, functions as F
 
 from labelloom.functions.portable import uniform
@@ -24,6 +25,11 @@ def stance_premise(conclusion: Column, stance: Column, premise: Column) -> Colum
     return F.concat(prefix, conclusion, F.lit(BECAUSE), premise)
 
 
+def english_stop_words() -> tuple[str, ...]:
+    """Spark's own English list."""
+    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+
+
 def word_tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
     """Lower-case words of two or more characters, without the stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))

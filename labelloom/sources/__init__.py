@@ -5,7 +5,9 @@ from labelloom.sources.stores import (
     load_linear_model,
     read_linear_json,
     save_index,
+    save_index_if_best,
     save_linear_model,
+    write_linear_json,
     write_fold_tables,
 )
 from labelloom.sources.tables import (
@@ -31,7 +33,9 @@ __all__ = [
     "read_taxonomy_lines",
     "read_weights",
     "save_index",
+    "save_index_if_best",
     "save_linear_model",
+    "write_linear_json",
     "write_fold_tables",
     "write_tsv",
 ]

@@ -109,3 +109,36 @@ def test_stream_keeps_the_usage(spark, tmp_path):
     )
     query.awaitTermination(120)
     assert {r["Argument ID"]: r["Usage"] for r in spark.table("usages").collect()} == {"1": "train", "2": "test", "3": "test"}
+
+
+def test_linear_json_round_trip(spark, tmp_path):
+    from labelloom.operators.linear import LinearModel, linear_margins
+    from labelloom.sources import read_linear_json, write_linear_json
+
+    terms = spark.createDataFrame([('say "b"', 1.5), ("a", 1.25), ("c", 2.0)], "term string, idf double")
+    coefs = [("x: y", "a", 0.5), ("x: y", 'say "b"', -1e-9), ("z", "c", 3.0)]
+    model = LinearModel(
+        ("x: y", "z"),
+        terms,
+        spark.createDataFrame(coefs, "label string, term string, coef double"),
+        spark.createDataFrame([("z", -0.25), ("x: y", 0.125)], "label string, intercept double"),
+    )
+    write_linear_json(model, str(tmp_path / "v"), str(tmp_path / "m"))
+    again = read_linear_json(spark, str(tmp_path / "v"), str(tmp_path / "m"), ["x: y", "z"])
+    assert {(r.term, r.idf) for r in again.terms.collect()} == {("a", 1.25), ("c", 2.0), ('say "b"', 1.5)}
+    assert {tuple(r) for r in again.coefs.where("coef <> 0").select("label", "term", "coef").collect()} == set(coefs)
+    assert {tuple(r) for r in again.intercepts.collect()} == {("x: y", 0.125), ("z", -0.25)}
+    docs = spark.createDataFrame([(1, "aa a cc")], "id int, t string")
+    assert linear_margins(docs, again, "id", "t").first()["z"] == -0.25
+
+
+def test_index_is_saved_on_a_new_best_only(spark, tmp_path):
+    from labelloom.sources import load_index, save_index_if_best
+
+    index = spark.createDataFrame([(1, [0.5])], "row_id int, embedding array<double>")
+    path = str(tmp_path / "index")
+    log = [("r", 0, 0.5), ("r", 1, 0.4)]
+    schema = "fold string, epoch int, f1 double"
+    assert not save_index_if_best(index, spark.createDataFrame(log, schema), 10, path)
+    assert save_index_if_best(index, spark.createDataFrame([*log, ("r", 2, 0.6)], schema), 10, path)
+    assert load_index(spark, path).count() == 1

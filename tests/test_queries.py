@@ -22,11 +22,6 @@ def test_query_equals_sql(spark, con, name):
     assert canonical(df.columns, rows) == expected
 
 
-@pytest.mark.parametrize("name", ["text_index", "label_embeddings", "text_predict"])
-def test_query_without_sql_gives_rows(spark, name):
-    assert registered.queries()[name](spark, FOLDER).count() > 0
-
-
 def test_entry(spark):
     df = registered.entry(spark)
     assert {r["label"] for r in df.collect()} == {"quality", "toxic"}
