@@ -2,9 +2,9 @@
 
 A window is 13 consecutive words of a benchmark item (all words of a shorter item). Words of
 documents that occur in no window can lie in no occurrence, so a document falls apart into
-runs of window words; runs shorter than the shortest window are left out. Each task gathers
-runs into shards of bounded size and indexes each shard: suffix array, Burrows-Wheeler
-transform, a wavelet matrix for ranks, and every 16th text position sampled. All windows are
+runs of window words; runs that are too short for any window of their words are left out. Each
+task takes documents in shards of bounded size and indexes a shard's runs: suffix array,
+Burrows-Wheeler transform, a wavelet matrix for ranks, and every 16th text position sampled. All windows are
 searched backward at once; occurrences are located by walking to the next sampled position,
 and their spans merged per document.
 
@@ -15,6 +15,7 @@ benchmark takes several passes over the documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -128,7 +129,7 @@ class FMIndex:
 
 
 class _Phrases:
-    """Windows of one block as rows of word numbers, and the items that have them."""
+    """Windows of one block as rows of word numbers (from 2), and the items that have them."""
 
     def __init__(self, windows: list[bytes], items: list[list]):
         split = [w.split(b" ") for w in windows]
@@ -138,28 +139,53 @@ class _Phrases:
         for row, s in zip(self.rows, split, strict=True):
             row[len(row) - len(s) :] = [self.number[x] for x in s]
         self.items = items
-        self.shortest = int(self.lengths.min(initial=1))
-
-    def runs(self, numbers: np.ndarray) -> list[tuple[int, int]]:
-        """Runs of known words, long enough for some window."""
-        known = np.concatenate(([0], (numbers > 0).astype(np.int8), [0]))
-        edge = np.flatnonzero(np.diff(known))
-        starts, ends = edge[::2], edge[1::2]
-        long = ends - starts >= self.shortest
-        return list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
-
-    def find(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """``(window, position)`` of all occurrences in the shard of pieces joined by 1."""
-        text = np.concatenate([x for p in pieces for x in (p, [1])])
+        #: The shortest window that holds each word.
+        self.least = np.full(len(self.number) + 2, 1 << 30, np.int64)
+        for row, length in zip(self.rows, self.lengths.tolist(), strict=True):
+            words = row[len(row) - length :]
+            self.least[words] = np.minimum(self.least[words], length)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Word numbers, 0 for words that no window has."""
+        return np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
+
+    def runs(self, numbers: np.ndarray) -> np.ndarray:
+        """Starts and ends of the runs in which some window has room, one row each.
+
+        A word can only be hit in a run at least as long as the shortest window that holds it,
+        so the longest windows take their runs first and shorter ones look at what is left.
+        """
+        found = []
+        left = numbers > 0
+        for length in sorted(set(self.lengths.tolist()), reverse=True):
+            left = left & (self.least[numbers] <= length) if found else left
+            edge = np.flatnonzero(np.diff(left, prepend=False, append=False))
+            runs = edge.reshape(-1, 2)
+            runs = runs[runs[:, 1] - runs[:, 0] >= length]
+            found.append(runs)
+            if len(runs):
+                taken = np.zeros(len(numbers) + 1, np.int64)
+                taken[runs[:, 0]] += 1
+                taken[runs[:, 1]] -= 1
+                left = left & (np.cumsum(taken)[:-1] == 0)
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+    def find(self, numbers: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(window, place in numbers)`` of all occurrences; the shard is the runs joined by 1."""
+        n = runs[:, 1] - runs[:, 0] + 1
+        begin = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) + np.repeat(runs[:, 0] - begin, n)
+        text = np.append(numbers, 0)[place]
+        text[begin + n - 1] = 1
         index = FMIndex(text)
         there = np.zeros(len(self.number) + 2, bool)
-        there[np.unique(text)] = True
+        there[text] = True
         able = np.flatnonzero((there[self.rows] | (self.rows == 0)).all(axis=1))
         low, high = index.search(self.rows[able], self.lengths[able])
-        n = np.maximum(0, high - low)
-        which = np.repeat(able, n)
-        rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return which, index.locate(rows)
+        count = np.maximum(0, high - low)
+        which = np.repeat(able, count)
+        rows = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return which, place[index.locate(rows)]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -175,35 +201,26 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scan(phrases: _Phrases, texts: list[str | None]) -> Iterator[tuple[int, list, list]]:
     """Per text: number of words, merged hit spans, items with occurring windows."""
-    waiting: list[tuple[int, list]] = []
-    pieces, owners, size = [], [], 0
-
-    def settle():
-        spans: list[list] = [[] for _ in waiting]
-        found: list[set] = [set() for _ in waiting]
-        if pieces:
-            which, where = phrases.find(pieces)
-            starts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in pieces])))
-            piece = np.searchsorted(starts, where, side="right") - 1
-            for w, p, at in zip(which.tolist(), piece.tolist(), (where - starts[piece]).tolist(), strict=True):
-                doc, offset = owners[p]
-                spans[doc].append((offset + at, offset + at + int(phrases.lengths[w])))
-                found[doc].update(phrases.items[w])
-        for (n, _), s, f in zip(waiting, spans, found, strict=True):
-            yield n, merged(s), list(f)
-
-    for text in texts:
-        words = words_of(text)
-        numbers = np.fromiter((phrases.number.get(w, 0) for w in words), np.int64, len(words))
-        for start, end in phrases.runs(numbers):
-            pieces.append(numbers[start:end])
-            owners.append((len(waiting), start))
-            size += end - start + 1
-        waiting.append((len(words), []))
-        if size >= SHARD_WORDS:
-            yield from settle()
-            waiting, pieces, owners, size = [], [], [], 0
-    yield from settle()
+    at = 0
+    while at < len(texts):
+        shard, size = [], 0
+        while at < len(texts) and size < SHARD_WORDS:
+            shard.append(np.append(phrases.numbers(words_of(texts[at])), 0))
+            size += len(shard[-1])
+            at += 1
+        numbers = np.concatenate(shard)
+        starts = np.cumsum([len(x) for x in shard]) - [len(x) for x in shard]
+        spans: list[list] = [[] for _ in shard]
+        found: list[set] = [set() for _ in shard]
+        runs = phrases.runs(numbers)
+        if len(runs):
+            which, where = phrases.find(numbers, runs)
+            doc = np.searchsorted(starts, where, side="right") - 1
+            for w, d, word in zip(which.tolist(), doc.tolist(), (where - starts[doc]).tolist(), strict=True):
+                spans[d].append((word, word + int(phrases.lengths[w])))
+                found[d].update(phrases.items[w])
+        for x, s, f in zip(shard, spans, found, strict=True):
+            yield len(x) - 1, merged(s), list(f)
 
 
 _FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
