@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -39,7 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="labelloom-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -47,6 +50,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a table written between two jobs."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder for a table written between two jobs.
+
+    What is there when the driver's Python ends is deleted; name a path of your own for a
+    model or an index to keep.
+    """
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean, spark)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def _clean(spark: SparkSession) -> None:
+    """Delete the tables between jobs, as far as the JVM is still there to do it."""
+    with contextlib.suppress(Exception):
+        for name in _made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
