@@ -56,6 +56,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]
 KEY = ["_lm_id", "_lm_text"]
 
 
+def doc_id() -> Column:
+    """The id out of a row key. Ids travel through Python in the key, where none is null:
+    pandas would turn a column with nulls into doubles and round large ids."""
+    return F.when(F.col("_lm_id") != F.lit(NO_ID), F.col("_lm_id")).alias("doc_id")
+
+
 def keyed(df: DataFrame, *columns: Column | str) -> DataFrame:
     """The row key followed by the wanted columns."""
     return df.select(*row_key(), *columns)

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from labelloom.llm.common import KEY, keyed, stored
+from labelloom.llm.common import KEY, doc_id, keyed, stored
 
 WINDOW = 13
 BLOCK = 100_000
@@ -261,7 +261,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     """
     spark = docs.sparkSession
     blocks = _blocks(benchmark, window, block) or [([], [])]
-    schema = f"_lm_id long, _lm_text long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_FOUND}"
+    schema = f"_lm_id long, _lm_text long, {_FOUND}"
     passes = []
     for windows in blocks:
         shared = spark.sparkContext.broadcast(windows)
@@ -276,19 +276,18 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
                 out["items"] = [x[2] for x in found]
                 yield out
 
-        passes.append(keyed(docs, "doc_id", "text").mapInPandas(scan, schema))
+        passes.append(keyed(docs, "text").mapInPandas(scan, schema))
     if len(passes) == 1:
-        return passes[0]
+        return passes[0].withColumn("doc_id", doc_id())
     union = passes[0]
     for other in passes[1:]:
         union = union.union(other)
     together = union.groupBy(*KEY).agg(
-        F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
-    return together.withColumn("spans", _merge("spans"))
+    return together.withColumn("spans", _merge("spans")).withColumn("doc_id", doc_id())
 
 
 def _merge(spans: str):

@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from labelloom.llm.common import KEY, in_filter, keyed, membership_filter, stored
+from labelloom.llm.common import KEY, doc_id, in_filter, keyed, membership_filter, stored
 
 REACH = 8
 SUPPORT = 2
@@ -131,8 +131,7 @@ _NEAR = "array<struct<entity:long,term:long,start:int,end:int>>"
 
 def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """Per document: row key, ``doc_id, base`` spans, the ``entities`` in it, ``near`` terms."""
-    schema = f"_lm_id long, _lm_text long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
-    schema += f"base {_SPANS}, entities array<long>, near {_NEAR}"
+    schema = f"_lm_id long, _lm_text long, base {_SPANS}, entities array<long>, near {_NEAR}"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,7 +146,8 @@ def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
             ]
             yield out
 
-    return keyed(docs, "doc_id", "text").mapInPandas(scan, schema)
+    found = keyed(docs, "text").mapInPandas(scan, schema)
+    return found.select(*KEY, doc_id(), "base", "entities", "near")
 
 
 def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:

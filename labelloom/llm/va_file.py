@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from labelloom.llm.common import stored
+from labelloom.llm.common import NO_ID, stored
 
 SCALE = 64
 BITS = 5
@@ -126,7 +126,7 @@ def _blocks(vectors: DataFrame, scale: int, bits: int, size: int) -> DataFrame:
             )
 
         for batch in batches:
-            for key, vector in zip(batch["vec_id"], batch["embedding"], strict=True):
+            for key, vector in zip(batch["vec_id"].tolist(), batch["embedding"], strict=True):
                 if vector is None:
                     continue
                 value = np.asarray(vector, np.float64)
@@ -135,13 +135,14 @@ def _blocks(vectors: DataFrame, scale: int, bits: int, size: int) -> DataFrame:
                 if not len(value) or not np.isfinite(value).all():
                     continue
                 rows = waiting.setdefault(len(value), [])
-                rows.append((None if pd.isna(key) else int(key), value))
+                rows.append((key, value))
                 if len(rows) >= size:
                     yield block(len(value))
         for dim in list(waiting):
             yield block(dim)
 
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    key = F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id")
+    rows = vectors.select(key, F.col("embedding").cast("array<double>"))
     return rows.mapInPandas(pack, _BLOCKS)
 
 
@@ -151,7 +152,7 @@ def _queries(blocks: DataFrame, every: int, size: int) -> DataFrame:
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, b in batch.iterrows():
-                at = [i for i, key in enumerate(b["ids"]) if not pd.isna(key) and int(key) % every == 0]
+                at = np.flatnonzero((b["ids"] != NO_ID) & (b["ids"] % every == 0)).tolist()
                 values = _unpacked(b["kind"], b["vectors"], b["dim"])
                 for start in range(0, len(at), size):
                     part = at[start : start + size]
@@ -193,7 +194,7 @@ def top_k(
                 dim = b["dim"]
                 rows = _unpacked(b["kind"], b["vectors"], dim)
                 cell = np.frombuffer(b["cells"], np.uint8).reshape(-1, dim)
-                ids = np.array([_LONG[1] if pd.isna(i) else int(i) for i in b["ids"]], np.int64)
+                ids = np.where(b["ids"] == NO_ID, _LONG[1], b["ids"])  # no id comes last among ties
                 queries = np.frombuffer(b["queries"]).reshape(-1, dim)
                 at, keys = np.asarray(b["at"], np.int64), np.asarray(b["keys"], np.int64)
                 own = at if b["from_block"] == b["block"] else np.full(len(at), -1)
@@ -211,12 +212,13 @@ def top_k(
                         "dim": dim,
                         "at": who,
                         "query_id": keys[who],
-                        "vec_id": pd.array([None if pd.isna(b["ids"][i]) else int(b["ids"][i]) for i in which], "Int64"),
+                        "vec_id": b["ids"][which],
                         "score": np.concatenate([s for _, _, s in found]),
                     }
                 )
 
     found = met.mapInPandas(scan, "q int, dim int, at int, query_id long, vec_id long, score long")
+    found = found.withColumn("vec_id", F.when(F.col("vec_id") != F.lit(NO_ID), F.col("vec_id")))
     order = Window.partitionBy("dim", "q", "at").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
