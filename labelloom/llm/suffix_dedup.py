@@ -6,13 +6,13 @@ only strings around a gram that is marked twice can repeat. The surroundings of
 (every 200-byte string that holds it) are a piece; pieces of one gram meet in one task, equal
 pieces counted as one.
 
-There the pieces get an enhanced suffix array: the suffixes that can start a string, sorted
-within gram and offset by prefix doubling, with their common-prefix lengths. A stack scan walks
-the interval tree of common prefixes of 200 bytes and more; an interval whose suffixes are
-preceded by different bytes is a maximal repeat, all its suffixes are its occurrences, and
-each covers its whole common prefix. An interval preceded by one byte only is part of the
-interval that starts a byte earlier, and left out. A piece that occurs twice as a whole is
-covered whole.
+There the pieces get an enhanced suffix array: what follows the gram, sorted, with the common
+prefixes of neighbours. A stack scan walks its interval tree of common prefixes. The members of
+an interval are tested for how diverse they are to the left: sorted by what precedes the gram,
+read backward, they fall into runs that share enough to make 200 bytes together with the
+interval's prefix. A run is a maximal repeat, all its members are its occurrences, and each
+covers its common extensions to both sides. A gram with one piece only, often marked, needs no
+array: its piece repeats as a whole.
 
 A gram with more than ``PIECES`` different pieces (the edge of a passage that very many
 documents share) is not gathered in a task: its strings are grouped one by one, by digest.
@@ -25,44 +25,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from labelloom.llm.common import KEY, in_filter, keyed, membership_filter, stored
 
 LENGTH = 200
 GRAM = 96
-PIECES = 8192
+PIECES = 1 << 17
 BATCH_BYTES = 1 << 20
 REPEAT_BITS = 1 << 26
 HOT_BITS = 1 << 20
 _P = 0x9E3779B97F4A7C15
-_WORD = 7  # symbols of 9 bits in a machine word
 
 
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(_P, n, 1 << 64))
 
 
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` bytes from each place on, built by doubling."""
-    if len(data) < size:
-        return np.zeros(0, np.uint64)
+def gram_hashes(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size a hash of that many bytes from each place on, built by doubling."""
+    out: list[np.ndarray | None] = [None] * len(sizes)
+    done = [0] * len(sizes)
     with np.errstate(over="ignore"):
         part, width = data.astype(np.uint64) + np.uint64(1), 1
-        whole, done, left = None, 0, size
-        while left:
-            if left & 1:
-                if whole is None:
-                    whole, done = part, width
-                else:
-                    n = min(len(whole), len(part) - done)
-                    whole, done = whole[:n] * _power(width) + part[done : done + n], done + width
-            left >>= 1
-            if left:
-                part, width = part[:-width] * _power(width) + part[width:], width * 2
-        whole = (whole ^ (whole >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        return whole ^ (whole >> np.uint64(29))
+        while width <= max(sizes) and len(part):
+            for i, size in enumerate(sizes):
+                if size & width:
+                    if out[i] is None:
+                        out[i] = part
+                    else:
+                        n = max(0, min(len(out[i]), len(part) - done[i]))
+                        out[i] = out[i][:n] * _power(width) + part[done[i] : done[i] + n]
+                    done[i] += width
+            part = part[:-width] * _power(width) + part[width:] if len(part) > width else part[:0]
+            width *= 2
+        for i, size in enumerate(sizes):
+            whole = out[i] if out[i] is not None and len(data) >= size else np.zeros(0, np.uint64)
+            whole = (whole ^ (whole >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+            out[i] = whole ^ (whole >> np.uint64(29))
+    return out
 
 
 def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -74,52 +75,77 @@ def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def marks(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the marked grams of a text, and their hashes as int64."""
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = gram_hashes(np.frombuffer(data, np.uint8), gram)
-    width = length - gram + 1
+def marks(h: np.ndarray, width: int) -> np.ndarray:
+    """Places of the grams marked in strings of ``width`` grams, from the grams' hashes."""
+    if len(h) < width:
+        return np.zeros(0, np.int64)
     least = _sliding(h, width, np.minimum)
     # A place is marked if it is the least of some string that holds it.
     edge = np.zeros(width - 1, np.uint64)
     reach = _sliding(np.concatenate((edge, least, edge)), width, np.maximum)
-    at = np.flatnonzero(reach == h)
-    return at, h[at].view(np.int64)
+    return np.flatnonzero(reach == h)
+
+
+class _Text:
+    """A text with its marked grams and digests of the pieces around them."""
 
+    def __init__(self, text: str | None, length: int, gram: int):
+        self.data = (text or "").encode()
+        # A piece is no longer than two strings, so its first and last string tell it.
+        grams, self.strings = gram_hashes(np.frombuffer(self.data, np.uint8), gram, length)
+        self.at = marks(grams, length - gram + 1)
+        self.g = grams[self.at].view(np.int64)
+        self.low = np.maximum(0, self.at - (length - gram))
+        self.high = np.minimum(len(self.data), self.at + length)
 
-def _digest(data: bytes) -> int:
-    value = xxhash.xxh3_64_intdigest(data)
-    return value - (1 << 64) if value >> 63 else value
+    def select(self, places: np.ndarray) -> None:
+        self.at, self.g, self.low, self.high = (x[places] for x in (self.at, self.g, self.low, self.high))
+
+    def digests(self, length: int) -> np.ndarray:
+        """Digests of the pieces; the gram's offset is part of them."""
+        parts = (self.strings[self.low], self.strings[self.high - length], self.at - self.low, self.high - self.at)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(self.at), np.uint64)
+            for part in parts:
+                total = (total ^ part.astype(np.uint64)) * np.uint64(_P)
+                total ^= total >> np.uint64(31)
+        return total.view(np.int64)
 
 
 def _counts(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(g, n, pieces)``: how often each gram is marked, and a bound of its different pieces."""
+    """``(g, n, least, most, pieces)``: marks of each gram, the smallest and largest digest of its
+    pieces, and a bound of the number of different pieces."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            grams, digests = [], []
-            for text in batch["text"]:
-                data = (text or "").encode()
-                at, h = marks(data, length, gram)
-                if len(at):
-                    # The bytes at both ends of a piece tell most pieces apart, cheaply.
-                    ends = gram_hashes(np.frombuffer(data, np.uint8), 8)
-                    low = np.maximum(0, at - (length - gram))
-                    high = np.minimum(len(data), at + length) - 8
-                    grams.append(h)
-                    digests.append((ends[low] * np.uint64(3) + ends[high]).view(np.int64))
-            if grams:
-                h, d = np.concatenate(grams), np.concatenate(digests)
+            found = [_Text(t, length, gram) for t in batch["text"]]
+            h = np.concatenate([t.g for t in found])
+            d = np.concatenate([t.digests(length) for t in found])
+            if len(h):
                 order = np.lexsort((d, h))
                 h, d = h[order], d[order]
                 first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                last = np.append(first[1:], len(h)) - 1
                 fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
-                n = np.diff(np.append(first, len(h)))
-                yield pd.DataFrame({"g": h[first], "n": n, "pieces": np.add.reduceat(fresh.astype(np.int64), first)})
+                most = pd.array(d[last], "Int64")
+                most[d[last] == d[first]] = None
+                yield pd.DataFrame(
+                    {
+                        "g": h[first],
+                        "n": last - first + 1,
+                        "least": d[first],
+                        "most": most,
+                        "pieces": np.add.reduceat(fresh.astype(np.int64), first),
+                    }
+                )
 
-    parts = docs.select("text").mapInPandas(count, "g long, n long, pieces long")
-    return parts.groupBy("g").agg(F.sum("n").alias("n"), F.sum("pieces").alias("pieces"))
+    parts = docs.select("text").mapInPandas(count, "g long, n long, least long, most long, pieces long")
+    return parts.groupBy("g").agg(
+        F.sum("n").alias("n"),
+        F.min("least").alias("least"),
+        F.max(F.coalesce("most", "least")).alias("most"),
+        F.sum("pieces").alias("pieces"),
+    )
 
 
 def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -129,65 +155,69 @@ def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
-                found = [marks((t or "").encode(), length, gram) for t in part["text"]]
-                n = [len(at) for at, _ in found]
+                found = [_Text(t, length, gram) for t in part["text"]]
+                n = [len(t.at) for t in found]
                 yield pd.DataFrame(
                     {
                         "_lm_id": np.repeat(part["_lm_id"].to_numpy(), n),
                         "_lm_text": np.repeat(part["_lm_text"].to_numpy(), n),
-                        "at": np.concatenate([at for at, _ in found]),
-                        "g": np.concatenate([h for _, h in found]),
+                        "at": np.concatenate([t.at for t in found]),
+                        "g": np.concatenate([t.g for t in found]),
                     }
                 )
 
     return keyed(docs, "text").mapInPandas(mark, "_lm_id long, _lm_text long, at long, g long")
 
 
-def _candidates(docs: DataFrame, length: int, gram: int, pieces: int, bits: int):
+def _candidates(docs: DataFrame, counts: DataFrame, length: int, gram: int, bits: int):
     """Documents with their repeated places to be looked at, and a function that finds them.
 
     Repeated grams are looked up in a broadcast filter while they are few enough for it (a
     sixteenth of its bits); beyond that, places are joined to them and brought to their text.
     """
-    counts = stored(_counts(docs, length, gram).where("n > 1"), "repeated-grams")
     spark = docs.sparkSession
-    hot = spark.sparkContext.broadcast(membership_filter(counts.where(F.col("pieces") > pieces), "g", HOT_BITS))
     if counts.count() <= bits >> 4:
         words = spark.sparkContext.broadcast(membership_filter(counts, "g", bits))
 
-        def places(data: bytes, _) -> tuple[np.ndarray, np.ndarray]:
-            at, h = marks(data, length, gram)
-            hit = in_filter(words.value, h)
-            return at[hit], h[hit]
+        def places(text: str | None, _) -> _Text:
+            found = _Text(text, length, gram)
+            found.select(in_filter(words.value, found.g))
+            return found
 
-        return keyed(docs, "text").withColumn("places", F.lit(None).cast("array<struct<at:long,g:long>>")), places, hot
+        return keyed(docs, "text").withColumn("places", F.lit(None).cast("array<long>")), places
     lists = _marked(docs, length, gram).join(counts.select("g"), "g")
-    lists = lists.groupBy(*KEY).agg(F.collect_set(F.struct("at", "g")).alias("places"))
-
-    def listed(_, rows) -> tuple[np.ndarray, np.ndarray]:
-        pairs = sorted((r["at"], r["g"]) for r in rows)
-        return np.array([a for a, _ in pairs], np.int64), np.array([g for _, g in pairs], np.int64)
+    lists = lists.groupBy(*KEY).agg(F.collect_set("at").alias("places"))
 
-    return keyed(docs, "text").join(lists, KEY), listed, hot
+    def listed(text: str | None, rows) -> _Text:
+        found = _Text(text, length, gram)
+        found.select(np.isin(found.at, np.asarray(rows, np.int64)))
+        return found
 
+    return keyed(docs, "text").join(lists, KEY), listed
 
-def _units(data: bytes, at: np.ndarray, g: np.ndarray, hot: np.ndarray, length: int, gram: int) -> Iterator[tuple]:
-    """``(key, digest, first byte, end, gram's offset)`` of the pieces, or strings, to compare."""
-    for a, h, single in zip(at.tolist(), g.tolist(), hot.tolist(), strict=True):
-        low, high = max(0, a - (length - gram)), min(len(data), a + length)
-        if not single:
-            # Equal bytes around different grams, as in a short text, are different pieces.
-            yield h, _digest(data[low:high]) ^ (a - low), low, high, a - low
-            continue
-        for start in range(low, min(a, high - length) + 1):
-            value = _digest(data[start : start + length])
-            # The offset keeps a string apart from itself around another equal gram.
-            yield (h ^ (value * 31) ^ ((a - start) * _P)) % (1 << 63), value, start, start + length, -1
 
+def _units(text: _Text, hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``(key, digest, first byte, end, gram's offset)`` of the pieces, or strings, to compare.
 
-def _pieces(rows: DataFrame, places, hot, length: int, gram: int) -> DataFrame:
-    """``(k, h, n, off, piece)``: different pieces of a task with their number; strings of hot
-    grams come without their bytes."""
+    A string of a hot gram has the offset -1, and the offset of the gram in it in its key, which
+    keeps it apart from itself around another equal gram.
+    """
+    whole = ~hot
+    units = [
+        (text.g[whole], text.digests(length)[whole], text.low[whole], text.high[whole], (text.at - text.low)[whole])
+    ]
+    for a, g, low, high in zip(*(x[hot].tolist() for x in (text.at, text.g, text.low, text.high)), strict=True):
+        start = np.arange(low, min(a, high - length) + 1)
+        h = text.strings[start]
+        with np.errstate(over="ignore"):
+            k = (np.uint64(g % (1 << 64)) ^ (h * np.uint64(31))) + (a - start).astype(np.uint64) * np.uint64(_P)
+        units.append((k.view(np.int64), h.view(np.int64), start, start + length, np.full(len(start), -1)))
+    return tuple(np.concatenate(x) for x in zip(*units, strict=True))
+
+
+def _pieces(rows: DataFrame, places, mixed, hot, length: int) -> DataFrame:
+    """``(k, h, n, off, piece)``: different pieces of a task with their number, of grams with
+    several pieces; strings of hot grams come without their bytes."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple, list] = {}
@@ -198,13 +228,14 @@ def _pieces(rows: DataFrame, places, hot, length: int, gram: int) -> DataFrame:
 
         for batch in batches:
             for text, listed in zip(batch["text"], batch["places"], strict=True):
-                data = (text or "").encode()
-                at, g = places(data, listed)
-                for k, h, low, high, off in _units(data, at, g, in_filter(hot.value, g), length, gram):
+                found = places(text, listed)
+                found.select(in_filter(mixed.value, found.g))
+                units = _units(found, in_filter(hot.value, found.g), length)
+                for k, h, low, high, off in zip(*(x.tolist() for x in units), strict=True):
                     if (k, h) in seen:
                         seen[k, h][0] += 1
                     else:
-                        piece = data[low:high] if off >= 0 else None
+                        piece = found.data[low:high] if off >= 0 else None
                         seen[k, h] = [1, off, piece]
                         size += 100 + len(piece or b"")
                 if size > 16 * BATCH_BYTES:
@@ -216,122 +247,47 @@ def _pieces(rows: DataFrame, places, hot, length: int, gram: int) -> DataFrame:
     return rows.select("text", "places").mapInPandas(cut, "k long, h long, n long, off int, piece binary")
 
 
-class SuffixArray:
-    """Sorted suffixes of some pieces that can start a string, with common prefixes.
+def shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    size = min(len(a), len(b))
+    differ = int.from_bytes(a[:size], "big") ^ int.from_bytes(b[:size], "big")
+    return size - (differ.bit_length() + 7) // 8
+
+
+def intervals(rows: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """``(depth, low, high)`` of the interval tree of sorted rows: rows ``low`` to ``high - 1``
+    share ``depth`` bytes and neither neighbour does; children come before their parents."""
+    depths = [shared(a, b) for a, b in zip(rows, rows[1:], strict=False)]
+    stack: list[tuple[int, int]] = []
+    for i, depth in enumerate([*depths, -1]):
+        low = i
+        while stack and stack[-1][0] > depth:
+            size, low = stack.pop()
+            yield size, low, i + 1
+        if depth >= 0 and (not stack or stack[-1][0] < depth):
+            stack.append((depth, low))
 
-    Only suffixes of the same group whose place has the same offset from the gram compare.
-    """
 
-    def __init__(self, pieces: list[bytes], groups: list[int], offsets: list[int], length: int):
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        # Symbols are bytes plus one; a zero ends each piece and sorts before all bytes.
-        symbols = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8).astype(np.int64) + 1
-        symbols[starts + sizes] = 0
-        self.n = n = len(symbols)
-        padded = np.append(symbols, np.zeros(2 * length + 512, np.int64))
-        self.symbols, self.levels = padded, []
-        word = np.zeros(len(padded) - _WORD, np.int64)
-        for i in range(_WORD):
-            word = (word << 9) | padded[i : i + len(word)]
-        rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
-        width = _WORD
-        self.levels.append((width, rank))
-        while width * 2 <= length:
-            m = len(rank) - width
-            rank = np.unique(rank[:m] * (int(rank.max(initial=0)) + 1) + rank[width:], return_inverse=True)[1]
-            rank, width = rank.astype(np.int64), width * 2
-            self.levels.append((width, rank))
-        self.length = length
-        self.piece = np.repeat(np.arange(len(pieces)), sizes + 1)
-        place = np.arange(n) - starts[self.piece]
-        off = np.array(offsets, np.int64)[self.piece]
-        room = sizes[self.piece] - place
-        able = np.flatnonzero((room >= length) & (place <= off))
-        family = np.array(groups, np.int64)[self.piece[able]] * (2 * length) + (place - off + length)[able]
-        keys = [family]
-        done = 0
-        for w, r in reversed(self.levels):  # whole widths until the longest piece is covered
-            while done + w <= length or (w == self.levels[0][0] and done < int(sizes.max(initial=0))):
-                keys.append(r[able + done])
-                done += w
-            if done < length:
-                keys.append(r[able + length - w])  # overlaps what is sorted already
-                done = length
-        self.head = keys
-        order = np.lexsort(keys[::-1])
-        self.order = able[order]
-        self.family = family[order]
-        self.place, self.room = place, room
-        left = np.where(place[self.order] > 0, symbols[self.order - 1], -1 - np.arange(len(self.order)))
-        self.left = left
-
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Common prefix of suffixes, by the ranks of ever shorter widths."""
-        size = np.zeros(len(i), np.int64)
-        top, widest = self.levels[-1]
-        same = np.ones(len(i), bool)
-        while same.any():
-            same &= (size + top) < 2 * self.length
-            same &= widest[np.where(same, i + size, 0)] == widest[np.where(same, j + size, 0)]
-            size += top * same
-        for width, rank in reversed(self.levels[:-1]):
-            size += width * (rank[i + size] == rank[j + size])
-        for _ in range(_WORD - 1):
-            size += (self.symbols[i + size] == self.symbols[j + size]) & (self.symbols[i + size] > 0)
-        return np.minimum(size, np.minimum(self.room[i], self.room[j]))
-
-    def repeats(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Maximal repeats of at least ``length``: common length, and the places of the suffixes
-        for which no longer maximal repeat was found."""
-        order = self.order
-        if len(order) < 2:
-            return
-        near = np.flatnonzero(self.family[1:] == self.family[:-1])
-        shared = np.zeros(len(order) + 1, np.int64)  # with the suffix before
-        shared[near + 1] = self.common(order[near], order[near + 1])
-        linked = shared[1:-1] >= self.length
-        edge = np.flatnonzero(np.diff(linked, prepend=False, append=False)).reshape(-1, 2)
-        if not len(edge):
-            return
-        low, high = edge[:, 0], edge[:, 1] + 1  # suffixes low..high-1 share the length
-        bounds = np.ravel(np.column_stack((low, high)))
-        limits = np.append(self.left, 0)
-        differ = np.minimum.reduceat(limits, bounds)[::2] != np.maximum.reduceat(limits, bounds)[::2]
-        for a, b in zip(low[differ].tolist(), high[differ].tolist(), strict=True):
-            yield from self._scan(a, b, shared)
-
-    def _scan(self, low: int, high: int, shared: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Stack scan of one run; a stack entry is depth, first suffix, left byte (None: several)."""
-        depth = shared[low + 1 : high].tolist() + [0]
-        left = self.left[low:high].tolist()
-        free = list(range(high - low + 1))  # next suffix without a repeat, by path halving
-
-        def next_free(i: int) -> int:
-            while free[i] != i:
-                free[i] = free[free[i]]
-                i = free[i]
-            return i
-
-        stack: list[list] = []
-        for i, d in enumerate(depth):
-            first, byte = i, left[i]
-            while stack and stack[-1][0] > d:
-                size, first, own = stack.pop()
-                byte = own if own == byte else None
-                if byte is None:
-                    places = []
-                    at = next_free(first)
-                    while at <= i:
-                        places.append(at)
-                        free[at] = at + 1
-                        at = next_free(at)
-                    if places:
-                        yield size, self.order[low + np.array(places)]
-            if stack and stack[-1][0] == d:
-                stack[-1][2] = stack[-1][2] if stack[-1][2] == byte else None
-            elif d:
-                stack.append([d, first, byte])
+def extensions(pieces: list[tuple[bytes, int]], length: int) -> list[tuple[int, int]]:
+    """How far each piece (bytes, gram's offset) repeats to the left and right of its gram.
+
+    Both are 0 if no string of ``length`` bytes around the gram occurs in another piece.
+    """
+    order = sorted(range(len(pieces)), key=lambda i: pieces[i][0][pieces[i][1] :])
+    right = [pieces[i][0][pieces[i][1] :] for i in order]
+    back = [pieces[i][0][: pieces[i][1]][::-1] for i in order]
+    reach = [(0, 0)] * len(pieces)
+    for depth, low, high in intervals(right):
+        members = sorted(range(low, high), key=back.__getitem__)
+        before = 0
+        for at, member in enumerate(members):
+            after = shared(back[member], back[members[at + 1]]) if at + 1 < len(members) else 0
+            left = max(before, after)
+            if left + depth >= length:
+                own = reach[order[member]]
+                reach[order[member]] = (max(own[0], left), max(own[1], depth))
+            before = after
+    return reach
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -345,97 +301,89 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def covers(groups: list[list[tuple]], length: int = LENGTH) -> Iterator[tuple[int, int, list]]:
-    """``(k, h, spans)`` of covered bytes, from rows ``(k, h, n, off, piece)`` by group."""
-    pieces, owner, ids, offsets = [], [], [], []
-    for number, rows in enumerate(groups):
-        distinct: dict[int, list] = {}
-        for k, h, n, off, piece in rows:
-            if h in distinct:
-                distinct[h][0] += n
-            else:
-                distinct[h] = [n, off, piece, k]
-        for h, (n, off, piece, k) in distinct.items():
-            if n > 1:
-                yield k, h, [(0, length if piece is None else len(piece))]
-            if piece is not None and len(distinct) > 1:
-                pieces.append(piece)
-                owner.append(number)
-                offsets.append(off)
-                ids.append((k, h, n))
-    if not pieces:
-        return
-    index = SuffixArray(pieces, owner, offsets, length)
-    found: dict[int, list] = {}
-    for size, places in index.repeats():
-        for piece, at in zip(index.piece[places].tolist(), index.place[places].tolist(), strict=True):
-            found.setdefault(piece, []).append((at, at + size))
-    for piece, spans in found.items():
-        k, h, n = ids[piece]
-        if n == 1:
-            yield k, h, merged(spans)
+def covers(rows: list[tuple], length: int = LENGTH) -> Iterator[tuple[int, int, list]]:
+    """``(k, h, spans)`` of covered bytes, from rows ``(k, h, n, off, piece)`` of one key."""
+    distinct: dict[int, list] = {}
+    for k, h, n, off, piece in rows:
+        if h in distinct:
+            distinct[h][0] += n
+        else:
+            distinct[h] = [n, off, piece]
+    several = [(h, off, piece) for h, (_, off, piece) in distinct.items() if piece is not None]
+    reach = extensions([(piece, off) for _, off, piece in several], length) if len(several) > 1 else []
+    sides = {h: (off, *r) for (h, off, _), r in zip(several, reach, strict=False)}
+    for h, (n, _, piece) in distinct.items():
+        if n > 1:
+            yield k, h, [(0, length if piece is None else len(piece))]
+        elif h in sides and sides[h][2]:
+            off, left, right = sides[h]
+            yield k, h, [(off - left, off + right)]
 
 
 def _covered(pieces: DataFrame, length: int) -> DataFrame:
     """``(k, h, spans)`` for every piece or string with repeated bytes."""
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(groups: list) -> pd.DataFrame:
-            rows = [(k, h, [{"a": a, "b": b} for a, b in s]) for k, h, s in covers(groups, length)]
-            return pd.DataFrame(rows, columns=["k", "h", "spans"])
+    def spanned(found: list) -> pd.DataFrame:
+        listed = [(k, h, [{"a": a, "b": b} for a, b in s]) for k, h, s in found]
+        return pd.DataFrame(listed, columns=["k", "h", "spans"])
 
-        groups: list[list] = []
-        size, last = 0, None
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
+            out = []
             columns = [batch[c].tolist() for c in ("k", "h", "n", "off", "piece")]
             for row in zip(*columns, strict=True):
-                if row[0] != last:
-                    if size > BATCH_BYTES:
-                        yield out(groups)
-                        groups, size = [], 0
-                    groups.append([])
-                    last = row[0]
-                groups[-1].append(row)
-                size += len(row[4]) if row[4] is not None else 16
-        if groups:
-            yield out(groups)
+                if rows and row[0] != rows[0][0]:
+                    out.extend(covers(rows, length))
+                    rows = []
+                rows.append(row)
+            yield spanned(out)
+        if rows:
+            yield spanned(list(covers(rows, length)))
 
     sorted_ = pieces.repartition("k").sortWithinPartitions("k", "h")
     return sorted_.mapInPandas(search, "k long, h long, spans array<struct<a:int,b:int>>")
 
 
-def _occurrences(rows: DataFrame, places, hot, length: int, gram: int) -> DataFrame:
-    """``(k, h, row key, low)``: where each piece or string stands."""
+def _occurrences(rows: DataFrame, places, hot, length: int) -> DataFrame:
+    """``(k, h, row key, low, high)``: where each piece or string stands."""
 
     def where(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
-                out = []
-                for row in part.itertuples(index=False):
-                    data = (row.text or "").encode()
-                    at, g = places(data, row.places)
-                    units = _units(data, at, g, in_filter(hot.value, g), length, gram)
-                    out.extend((k, h, row[0], row[1], low) for k, h, low, _, _ in units)
-                yield pd.DataFrame(out, columns=["k", "h", *KEY, "low"], dtype="int64")
-
-    return rows.select(*KEY, "text", "places").mapInPandas(where, "k long, h long, _lm_id long, _lm_text long, low long")
+                texts = [places(t, p) for t, p in zip(part["text"], part["places"], strict=True)]
+                units = [_units(t, in_filter(hot.value, t.g), length)[:4] for t in texts]
+                n = [len(u[0]) for u in units]
+                out = {c: np.concatenate(x) for c, x in zip(("k", "h", "low", "high"), zip(*units), strict=True)}
+                out |= {c: np.repeat(part[c].to_numpy(), n) for c in KEY}
+                yield pd.DataFrame(out)[["k", "h", *KEY, "low", "high"]]
+
+    return rows.select(*KEY, "text", "places").mapInPandas(
+        where, "k long, h long, _lm_id long, _lm_text long, low int, high int"
+    )
 
 
 def removals(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pieces: int = PIECES, bits: int = REPEAT_BITS
 ) -> DataFrame:
     """``(row key, spans)``: covered byte spans of the texts, unmerged, rows without any left out."""
-    rows, places, hot = _candidates(docs, length, gram, pieces, bits)
-    found = stored(_covered(_pieces(rows, places, hot, length, gram), length), "repeated-pieces")
-    where = _occurrences(rows, places, hot, length, gram).join(found, ["k", "h"])
-    spans = where.select(
-        *KEY,
-        F.explode(F.transform("spans", lambda s: F.struct((F.col("low") + s["a"]).alias("a"), (F.col("low") + s["b"]).alias("b")))).alias("s"),
+    spark = docs.sparkSession
+    counts = stored(_counts(docs, length, gram).where("n > 1"), "repeated-grams")
+    rows, places = _candidates(docs, counts, length, gram, bits)
+    # Whatever a filter passes beyond its members is looked at in another, no less exact way.
+    mixed = counts.where("least <> most")
+    mixed_filter = spark.sparkContext.broadcast(membership_filter(mixed, "g", bits))
+    hot = spark.sparkContext.broadcast(membership_filter(mixed.where(F.col("pieces") > pieces), "g", HOT_BITS))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(1 << 30).alias("b")))
+    single = counts.where("least = most").select(F.col("g").alias("k"), F.col("least").alias("h"), whole.alias("spans"))
+    found = stored(_covered(_pieces(rows, places, mixed_filter, hot, length), length), "repeated-pieces")
+    where = _occurrences(rows, places, hot, length).join(found.union(single), ["k", "h"])
+    span = F.transform(
+        "spans",
+        lambda s: F.struct((F.col("low") + s["a"]).alias("a"), F.least(F.col("low") + s["b"], F.col("high")).alias("b")),
     )
-    # The widest span from each first byte says all, and is summed up in the tasks.
-    spans = spans.groupBy(*KEY, "s.a").agg(F.max("s.b").alias("b"))
-    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("_lm_spans"))
+    return where.groupBy(*KEY).agg(F.flatten(F.collect_list(span)).alias("_lm_spans"))
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
