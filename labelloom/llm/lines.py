@@ -9,8 +9,9 @@ Lines that agree in a band are a list. Its pairs are not formed: every member is
 the list's smallest line, first within each task, so that a list sends at most one row per
 task, then over all tasks. Pairs are verified by the exact Jaccard similarity of their shingle
 sets and joined by a distributed union-find. Where a list still holds several groups, the
-members outside the first line's group are paired with the others: all pairs of a small
-rest, and one further leader at a time where the rest is large.
+members outside the first line's group lead in turn: each is paired with the members of other
+groups, so many at a time that a list gives about ``REST_PAIRS`` pairs, until every member
+has led or all are one group.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from labelloom.llm.common import KEY, discard, in_filter, keyed, membership_filter, stored
+from labelloom.llm.common import KEY, in_filter, keyed, membership_filter, stored
 from labelloom.llm.components import components
 
 SHINGLE = 9
 SIMILARITY = 0.8
 BANDS = 8
 ROWS = 3
-REST_PAIRS = 4096
+REST_PAIRS = 1 << 16
 _GROUP_CHARS = 1 << 20
+_GROUP_LINES = 50_000
+_SET_CHARS = 1 << 19
 _HIGH = np.uint64(0xFFFFFFFFFFFFFFFF)
 _P = np.uint64(0x100000001B3)
 
@@ -96,10 +99,28 @@ def band_keys(lines: list[str], size: int = SHINGLE, bands: int = BANDS, rows: i
         return (keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
-def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
-    """Exact Jaccard similarity of two lines' shingle sets."""
-    x, y = ({s[i : i + size] for i in range(max(1, len(s) - size + 1))} for s in (a, b))
-    return len(x & y) / len(x | y)
+def shingles(line: str, size: int = SHINGLE) -> frozenset[str]:
+    return frozenset(line[i : i + size] for i in range(max(1, len(line) - size + 1)))
+
+
+def jaccard(a: frozenset[str], b: frozenset[str]) -> float:
+    """Exact Jaccard similarity of two shingle sets."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
+
+
+class _Sets(dict):
+    """Shingle sets of the lines seen last; it starts again when they grow large."""
+
+    chars = 0
+
+    def __missing__(self, line: str) -> frozenset[str]:
+        self.chars += len(line)
+        if self.chars > _SET_CHARS:
+            self.clear()
+            self.chars = len(line)
+        self[line] = own = shingles(line)
+        return own
 
 
 def _lines(text: str | None) -> list[tuple[int, str]]:
@@ -108,27 +129,6 @@ def _lines(text: str | None) -> list[tuple[int, str]]:
     return [(i, x) for i, x in found if x]
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """``(row key, line, h)``: every line that is not blank, by number and digest."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                lines = [_lines(t) for t in part["text"]]
-                n = [len(x) for x in lines]
-                yield pd.DataFrame(
-                    {
-                        "_lm_id": np.repeat(part["_lm_id"].to_numpy(), n),
-                        "_lm_text": np.repeat(part["_lm_text"].to_numpy(), n),
-                        "line": np.array([i for x in lines for i, _ in x], np.int32),
-                        "h": np.array([line_id(s) for x in lines for _, s in x], np.int64),
-                    }
-                )
-
-    return keyed(docs, "text").mapInPandas(cut, "_lm_id long, _lm_text long, line int, h long")
-
-
 def _distinct_lines(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[str]]]:
     """Digests and texts of lines, about a megabyte at a time, repeats in it left out."""
     seen: dict[int, str] = {}
@@ -147,46 +147,78 @@ def _distinct_lines(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int]
         yield list(seen), list(seen.values())
 
 
-def _posts(docs: DataFrame) -> DataFrame:
-    """``(k, a, b)``: within a task, members ``b`` of a band list with its smallest line ``a``.
+def scan(docs: DataFrame) -> DataFrame:
+    """One pass over the texts, with two kinds of rows.
 
-    The first line of each list comes with itself. Only these go into the shuffle by list.
+    ``k`` null: the line with digest ``b`` stands at ``line`` of a row. Else: within a task,
+    ``b`` is a member of band list ``k`` whose smallest line is ``a``; the first line of each
+    list comes with itself, and only these go into the shuffle by list.
     """
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for digests, lines in _distinct_lines(batches):
-            h = np.repeat(np.array(digests, np.int64), BANDS)
-            k = band_keys(lines).ravel()
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[int, str] = {}
+        places: list[tuple] = []
+        size = 0
+
+        def out() -> Iterator[pd.DataFrame]:
+            where = pd.DataFrame(places, columns=[*KEY, "line", "b"])
+            yield where.assign(k=pd.NA, a=pd.NA).astype({"k": "Int64", "a": "Int64"})[_SCANNED]
+            if not seen:
+                return
+            h = np.repeat(np.array(list(seen), np.int64), BANDS)
+            k = band_keys(list(seen.values())).ravel()
             order = np.lexsort((h, k))
             k, h = k[order], h[order]
             first = np.concatenate(([True], k[1:] != k[:-1]))
-            yield pd.DataFrame({"k": k, "a": h[first][np.cumsum(first) - 1], "b": h})
+            posts = pd.DataFrame({"k": k, "a": h[first][np.cumsum(first) - 1], "b": h})
+            yield posts.assign(_lm_id=0, _lm_text=0, line=0)[_SCANNED]
+
+        for batch in batches:
+            for own, digest, text in zip(batch["_lm_id"].tolist(), batch["_lm_text"].tolist(), batch["text"], strict=True):
+                for i, line in _lines(text):
+                    h = line_id(line)
+                    places.append((own, digest, i, h))
+                    if h not in seen:
+                        seen[h] = line
+                        size += len(line)
+                if size >= _GROUP_CHARS or len(places) >= _GROUP_LINES:
+                    yield from out()
+                    seen, places, size = {}, [], 0
+        yield from out()
+
+    return stored(
+        keyed(docs, "text").mapInPandas(read, "k long, a long, b long, _lm_id long, _lm_text long, line int"),
+        "line-scan",
+    )
+
 
-    return docs.select("text").mapInPandas(post, "k long, a long, b long")
+_SCANNED = ["k", "a", "b", "_lm_id", "_lm_text", "line"]
 
 
-def members(docs: DataFrame) -> DataFrame:
+def members(scanned: DataFrame) -> DataFrame:
     """``(k, a, b)``: lists of at least two lines, each member with its leader."""
-    posts = stored(_posts(docs), "line-posts")
+    posts = scanned.where("k IS NOT NULL").select("k", "a", "b")
     window = Window.partitionBy("k")
-    heads = posts.where("a = b").select("k", "a").distinct()
+    heads = posts.where("a = b").select("k", "a")
     heads = heads.withColumn("lead", F.min("a").over(window)).where("a <> lead")
-    return posts.where("a <> b").union(heads.select("k", F.col("lead").alias("a"), F.col("a").alias("b")))
+    heads = heads.select("k", F.col("lead").alias("a"), F.col("a").alias("b"))
+    return posts.where("a <> b").union(heads).distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(h, text)`` of the wanted digests (column ``h``): filtered in each task, then joined."""
+    """``(h, text, n)`` of the wanted digests (column ``h``), ``n`` shingles: filtered in each
+    task, then joined."""
     words = docs.sparkSession.sparkContext.broadcast(membership_filter(wanted, "h"))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for digests, lines in _distinct_lines(batches):
             hit = np.flatnonzero(in_filter(words.value, np.array(digests, np.int64)))
-            yield pd.DataFrame({"h": [digests[i] for i in hit], "text": [lines[i] for i in hit]}).astype(
-                {"h": "int64", "text": object}
-            )
+            rows = [(digests[i], lines[i], len(shingles(lines[i]))) for i in hit]
+            yield pd.DataFrame(rows, columns=["h", "text", "n"]).astype({"h": "int64", "text": object, "n": "int32"})
 
-    found = docs.select("text").mapInPandas(pick, "h long, text string")
-    return found.join(wanted.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    found = docs.select("text").mapInPandas(pick, "h long, text string, n int")
+    found = found.join(wanted.select("h").distinct(), "h", "left_semi")
+    return found.groupBy("h").agg(F.min("text").alias("text"), F.min("n").alias("n"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -194,53 +226,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(x, y, strict=True):
-            short, long = sorted((len(s), len(t)))
-            # the shorter side cannot have more shingles than places
-            out.append((short >= similarity * (long - SHINGLE)) and jaccard(s, t) >= similarity)
-        return pd.Series(out, dtype=bool)
-
-    left = texts.select(F.col("h").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("h").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(alike("x", "y")).select("a", "b")
+        sets = _Sets()
+        return pd.Series([jaccard(sets[s], sets[t]) >= similarity for s, t in zip(x, y, strict=True)], dtype=bool)
+
+    left = texts.select(F.col("h").alias("a"), F.col("text").alias("x"), F.col("n").alias("m"))
+    right = texts.select(F.col("h").alias("b"), F.col("text").alias("y"), "n")
+    met = pairs.join(left, "a").join(right, "b")
+    # Sets of too different sizes cannot be that similar.
+    met = met.where(F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n"))
+    return met.where(alike("x", "y")).select("a", "b")
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(h, root)`` after new links: only the graph of the roots that they join is solved."""
+    if roots is None:
+        return stored(components(links, "line-groups").withColumnRenamed("node", "h"), "line-roots")
+    a, b = (
+        roots.select(F.col("h").alias(side), F.col("root").alias(f"root_{side}")) for side in ("a", "b")
+    )
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
+    )
+    moved = components(ends, "line-groups").withColumnRenamed("root", "new")
+    known = roots.union(moved.select(F.col("node").alias("h"), F.col("node").alias("root"))).distinct()
+    whole = known.join(moved, known.root == moved.node, "left").select("h", F.coalesce("new", "root").alias("root"))
+    return stored(whole, "line-roots")
 
 
-def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def groups(docs: DataFrame, scanned: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(h, root)`` for lines that are near copies of another line; lines alone are left out."""
-    lists = stored(members(docs), "line-lists")
+    lists = stored(members(scanned), "line-lists")
     pairs = lists.select("a", "b").distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = stored(_texts(docs, wanted), "line-texts")
-    links = stored(_verified(pairs, texts, similarity), "line-links")
-    roots = components(links, "line-groups").withColumnRenamed("node", "h")
+    roots = _merged(None, _verified(pairs, texts, similarity))
+    # Who has been compared with the whole list; the members outside those groups are the rest.
+    led = lists.select("k", F.col("a").alias("h")).distinct()
     rows = lists.select("k", F.explode(F.array("a", "b")).alias("h")).distinct()
-    used = lists.select("k", F.col("a").alias("h")).distinct()
+    rows = rows.join(led.withColumn("led", F.lit(True)), ["k", "h"], "left")
     while True:
-        # Members outside the group of the list's first line; lists of one group are done.
-        placed = rows.join(roots, "h", "left").select("k", "h", F.coalesce("root", "h").alias("root"))
-        led = placed.join(used.withColumn("led", F.lit(True)), ["k", "h"], "left")
         window = Window.partitionBy("k")
-        open_ = led.withColumn("lowest", F.min("root").over(window)).withColumn("top", F.max("root").over(window))
-        open_ = open_.where("lowest < top").withColumn("rest", F.count(F.when(F.col("led").isNull(), 1)).over(window))
-        open_ = open_.withColumn("n", F.count(F.lit(1)).over(window)).where("rest > 0")
-        open_ = stored(open_, "line-rest")
+        placed = rows.join(roots, "h", "left").select("k", "h", F.coalesce("root", "h").alias("root"), "led")
+        open_ = placed.withColumns(
+            {
+                "lowest": F.min("root").over(window),
+                "top": F.max("root").over(window),
+                "n": F.count(F.lit(1)).over(window),
+                "rest": F.count(F.when(F.col("led").isNull(), 1)).over(window),
+            }
+        ).where("lowest < top AND rest > 0")
+        # As many further leaders as give a list about REST_PAIRS pairs, at least one.
+        turn = F.row_number().over(window.orderBy(F.col("led").isNotNull(), "h"))
+        leads = F.col("led").isNull() & (turn <= F.greatest(F.lit(1), F.floor(F.lit(REST_PAIRS) / F.col("n"))))
+        open_ = stored(open_.select("k", "h", "root", "led", leads.alias("leads")), "line-rest")
         if open_.isEmpty():
             return roots
-        # A list whose rest is small is finished at once, of others the next leader is tried.
-        free = open_.where("led IS NULL")
-        small = F.col("rest") * F.col("n") <= REST_PAIRS
-        lead = free.where(~small).groupBy("k").agg(F.min("h").alias("h")).join(free, ["k", "h"])
-        lead = free.where(small).select("k", "h", "root").union(lead.select("k", "h", "root"))
-        lead = lead.select("k", F.col("h").alias("a"), F.col("root").alias("own"))
+        lead = open_.where("leads").select("k", F.col("h").alias("a"), F.col("root").alias("own"))
         tried = lead.join(open_.select("k", F.col("h").alias("b"), "root"), "k").where("root <> own")
         pairs = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = stored(links.union(_verified(pairs, texts, similarity)), "line-links")
-        used = stored(used.union(lead.select("k", F.col("a").alias("h"))).distinct(), "line-led")
-        rows = stored(open_.select("k", "h").distinct(), "line-lists")
-        roots = components(more, "line-groups").withColumnRenamed("node", "h")
-        discard(open_)
-        links = more
+        links = stored(_verified(pairs, texts, similarity), "line-links")
+        if not links.isEmpty():
+            roots = _merged(roots, links)
+        rows = open_.select("k", "h", F.when(F.col("leads"), True).otherwise(F.col("led")).alias("led"))
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -249,8 +296,9 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Of each group of equal or near lines the first stays: smallest doc_id, then text digest,
     then line number. Blank lines are no lines and never go. Repeated rows count as one row.
     """
-    found = stored(occurrences(docs).distinct(), "line-places")
-    named = found.join(groups(docs, similarity), "h", "left").select(
+    scanned = scan(docs)
+    found = scanned.where("k IS NULL").select(*KEY, "line", F.col("b").alias("h")).distinct()
+    named = found.join(groups(docs, scanned, similarity), "h", "left").select(
         *KEY, "line", F.coalesce("root", "h").alias("root")
     )
     place = F.struct(F.col("_lm_id") == F.lit(-(1 << 63)), *KEY, "line")
@@ -266,10 +314,20 @@ def _cut(docs: DataFrame, similarity: float) -> DataFrame:
 
 def _kept_text():
     """The lines whose numbers are not listed, joined again; a null text stays null."""
-    lines = F.split("_lm_row.text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lm_gone")
-    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    return F.when(F.col("_lm_gone").isNull(), F.col("_lm_row.text")).otherwise(left)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        out = []
+        for text, numbers in zip(texts, gone, strict=True):
+            drop = set() if numbers is None else set(numbers.tolist())
+            out.append(
+                None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
+            )
+        return pd.Series(out, dtype=object)
+
+    touched = F.col("_lm_gone").isNotNull()
+    left = cut(F.when(touched, F.col("_lm_row.text")), F.col("_lm_gone"))
+    return F.when(touched, left).otherwise(F.col("_lm_row.text"))
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

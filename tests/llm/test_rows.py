@@ -129,7 +129,7 @@ def test_lines_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, line string").repartition(4)
     every = {lines.line_id(s): s for t in texts for _, s in lines._lines(t)}
     want = brute_groups(every)
-    found = {r.h: r.root for r in lines.groups(df).collect()}
+    found = {r.h: r.root for r in lines.groups(df, lines.scan(df)).collect()}
     assert {h: found.get(h, h) for h in every} == want
     out = lines.dedup(df)
     assert out.columns == df.columns and out.count() == len(rows)
@@ -147,7 +147,7 @@ def test_bands_meet_for_near_lines():
     for _ in range(300):
         a = words(rng, 25)
         b = a[: len(a) // 2] + "zq" + a[len(a) // 2 :]
-        if lines.jaccard(a, b) >= lines.SIMILARITY:
+        if lines.jaccard(lines.shingles(a), lines.shingles(b)) >= lines.SIMILARITY:
             keys = lines.band_keys([a, b])
             met += bool((keys[0] == keys[1]).any())
             total += 1
@@ -182,7 +182,7 @@ def test_no_text_no_substrings(empty):
     assert suffix_dedup.report(empty).count() == 0
 
 
-def test_suffix_array_covers_small_cases():
+def test_extensions_cover_small_cases():
     rng = random.Random(6)
     for _ in range(60):
         letters = rng.choice([b"ab", b"abcdefgh"])
@@ -196,18 +196,29 @@ def test_suffix_array_covers_small_cases():
             for _ in range(8)
         ]
         length, gram = 24, 8
-        groups, where = defaultdict(list), []
-        for d, t in enumerate(texts):
-            at, g = suffix_dedup.marks(t, length, gram)
-            for k, h, low, high, off in suffix_dedup._units(t, at, g, np.zeros(len(g), bool), length, gram):
-                groups[k].append((k, h, 1, off, t[low:high]))
-                where.append((k, h, d, low))
-        found = {(k, h): s for k, h, s in suffix_dedup.covers(list(groups.values()), length)}
-        cover = [np.zeros(len(t) + 1, bool) for t in texts]
-        for k, h, d, low in where:
-            for a, b in found.get((k, h), ()):
-                cover[d][low + a : low + b] = True
-        assert all((x == y).all() for x, y in zip(cover, brute_cover(texts, length), strict=True))
+        for limit in (10**9, 1):
+            found = [suffix_dedup._Text(t.decode(), length, gram) for t in texts]
+            marked = Counter(g for t in found for g in t.g.tolist())
+            groups, where = defaultdict(list), []
+            for d, t in enumerate(found):
+                hot = np.array([marked[g] > limit for g in t.g.tolist()], bool)
+                for k, h, low, high, off in zip(*(x.tolist() for x in suffix_dedup._units(t, hot, length)), strict=True):
+                    groups[k].append((k, h, 1, off, texts[d][low:high] if off >= 0 else None))
+                    where.append((k, h, d, low))
+            spans = {(k, h): s for rows in groups.values() for k, h, s in suffix_dedup.covers(rows, length)}
+            cover = [np.zeros(len(t) + 1, bool) for t in texts]
+            for k, h, d, low in where:
+                for a, b in spans.get((k, h), ()):
+                    cover[d][low + a : low + b] = True
+            assert all((x == y).all() for x, y in zip(cover, brute_cover(texts, length), strict=True))
+
+
+def test_intervals_of_common_prefixes():
+    rows = sorted([b"abc", b"abd", b"abd", b"b", b"ba", b"c"])
+    found = set(suffix_dedup.intervals(rows))
+    assert {(2, 0, 3), (3, 1, 3), (1, 3, 5)} <= found
+    assert all(min(suffix_dedup.shared(a, b) for a, b in zip(rows[x:y], rows[x + 1 : y], strict=False)) == d
+               for d, x, y in found)
 
 
 def test_vectors_against_brute_force(spark):
