@@ -118,9 +118,12 @@ def _counts(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [_Text(t, length, gram) for t in batch["text"]]
-            h = np.concatenate([t.g for t in found])
-            d = np.concatenate([t.digests(length) for t in found])
+            grams, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for text in batch["text"]:  # one at a time: the hashes of a text are far larger than itself
+                found = _Text(text, length, gram)
+                grams.append(found.g)
+                digests.append(found.digests(length))
+            h, d = np.concatenate(grams), np.concatenate(digests)
             if len(h):
                 order = np.lexsort((d, h))
                 h, d = h[order], d[order]
