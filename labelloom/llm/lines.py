@@ -8,10 +8,10 @@ band: with 8 bands, lines of Jaccard similarity 0.8 meet in some band with proba
 Lines that agree in a band are a list. Its pairs are not formed: every member is paired with
 the list's smallest line, first within each task, so that a list sends at most one row per
 task, then over all tasks. Pairs are verified by the exact Jaccard similarity of their shingle
-sets and joined by a distributed union-find. Where a list still holds several groups, the
-members outside the first line's group lead in turn: each is paired with the members of other
-groups, so many at a time that a list gives about ``REST_PAIRS`` pairs, until every member
-has led or all are one group.
+sets and joined by a distributed union-find. Where a list still holds several groups, all
+members but the smallest line lead in turn, also those that led inside a task: each is paired
+with the members of other groups, so many at a time that a list gives about ``REST_PAIRS``
+pairs, until every member has led or all are one group.
 """
 
 from __future__ import annotations
@@ -260,8 +260,8 @@ def groups(docs: DataFrame, scanned: DataFrame, similarity: float = SIMILARITY)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = stored(_texts(docs, wanted), "line-texts")
     roots = _merged(None, _verified(pairs, texts, similarity))
-    # Who has been compared with the whole list; the members outside those groups are the rest.
-    led = lists.select("k", F.col("a").alias("h")).distinct()
+    # Only a list's smallest line needs no turn: whoever else it was not compared with has one.
+    led = lists.groupBy("k").agg(F.min("a").alias("h"))
     rows = lists.select("k", F.explode(F.array("a", "b")).alias("h")).distinct()
     rows = rows.join(led.withColumn("led", F.lit(True)), ["k", "h"], "left")
     while True:

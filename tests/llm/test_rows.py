@@ -141,6 +141,30 @@ def test_lines_against_brute_force(spark):
     assert lines.report(df.limit(0)).count() == 0
 
 
+def test_heads_of_different_tasks_are_compared(spark):
+    rng = random.Random(3)
+    lone = sorted((words(rng, 30) for _ in range(200)), key=lines.line_id)
+    low, high = lines.line_id(lone[0]), lines.line_id(lone[-17])
+    pairs = []
+    while len(pairs) < 8:
+        one = words(rng, 30)
+        if all(low < lines.line_id(x) < high for x in (one, one + " v1")):
+            pairs.append((one, one + " v1"))
+    # One band list over 17 parts, each with its head and a fellow: the smallest line leads one
+    # part, both lines of each near pair lead a part of their own.
+    heads = [lone[0], *(x for pair in pairs for x in pair)]
+    parts = list(zip(map(lines.line_id, heads), map(lines.line_id, lone[-len(heads) :]), strict=True))
+    assert all(a < b for a, b in parts) and min(parts)[0] == lines.line_id(lone[0])
+    posts = [(1, a, b, 0, 0, 0) for a, fellow in parts for b in (a, fellow)]
+    scanned = spark.createDataFrame(posts, "k long, a long, b long, _lm_id long, _lm_text long, line int")
+    texts = [*heads, *lone[-len(heads) :]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.h: r.root for r in lines.groups(df, scanned).collect()}
+    want = brute_groups({lines.line_id(t): t for t in texts})
+    assert len(set(want.values())) == len(texts) - len(pairs)
+    assert {h: found.get(h, h) for h in want} == want
+
+
 def test_bands_meet_for_near_lines():
     rng = random.Random(2)
     met = total = 0
