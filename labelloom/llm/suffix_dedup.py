@@ -348,15 +348,20 @@ def _covered(pieces: DataFrame, length: int) -> DataFrame:
     return sorted_.mapInPandas(search, "k long, h long, spans array<struct<a:int,b:int>>")
 
 
-def _occurrences(rows: DataFrame, places, hot, length: int) -> DataFrame:
-    """``(k, h, row key, low, high)``: where each piece or string stands."""
+def _occurrences(rows: DataFrame, places, mixed, hot, length: int) -> DataFrame:
+    """``(k, h, row key, low, high)``: where each piece or string stands.
+
+    Strings are taken of the grams that both filters pass, as in ``_pieces``; a gram with one
+    piece that only the hot filter passes keeps its whole piece.
+    """
 
     def where(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
                 texts = [places(t, p) for t, p in zip(part["text"], part["places"], strict=True)]
-                units = [_units(t, in_filter(hot.value, t.g), length)[:4] for t in texts]
+                split = [in_filter(mixed.value, t.g) & in_filter(hot.value, t.g) for t in texts]
+                units = [_units(t, x, length)[:4] for t, x in zip(texts, split, strict=True)]
                 n = [len(u[0]) for u in units]
                 out = {c: np.concatenate(x) for c, x in zip(("k", "h", "low", "high"), zip(*units), strict=True)}
                 out |= {c: np.repeat(part[c].to_numpy(), n) for c in KEY}
@@ -368,7 +373,12 @@ def _occurrences(rows: DataFrame, places, hot, length: int) -> DataFrame:
 
 
 def removals(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, pieces: int = PIECES, bits: int = REPEAT_BITS
+    docs: DataFrame,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    pieces: int = PIECES,
+    bits: int = REPEAT_BITS,
+    hot_bits: int = HOT_BITS,
 ) -> DataFrame:
     """``(row key, spans)``: covered byte spans of the texts, unmerged, rows without any left out."""
     spark = docs.sparkSession
@@ -377,11 +387,11 @@ def removals(
     # Whatever a filter passes beyond its members is looked at in another, no less exact way.
     mixed = counts.where("least <> most")
     mixed_filter = spark.sparkContext.broadcast(membership_filter(mixed, "g", bits))
-    hot = spark.sparkContext.broadcast(membership_filter(mixed.where(F.col("pieces") > pieces), "g", HOT_BITS))
+    hot = spark.sparkContext.broadcast(membership_filter(mixed.where(F.col("pieces") > pieces), "g", hot_bits))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(1 << 30).alias("b")))
     single = counts.where("least = most").select(F.col("g").alias("k"), F.col("least").alias("h"), whole.alias("spans"))
     found = stored(_covered(_pieces(rows, places, mixed_filter, hot, length), length), "repeated-pieces")
-    where = _occurrences(rows, places, hot, length).join(found.union(single), ["k", "h"])
+    where = _occurrences(rows, places, mixed_filter, hot, length).join(found.union(single), ["k", "h"])
     span = F.transform(
         "spans",
         lambda s: F.struct((F.col("low") + s["a"]).alias("a"), F.least(F.col("low") + s["b"], F.col("high")).alias("b")),

@@ -202,6 +202,23 @@ def test_substrings_against_brute_force(docs, rows, options):
     assert Counter(map(tuple, suffix_dedup.report(docs, **options).collect())) == want
 
 
+def test_copies_of_grams_that_pass_the_hot_filter_by_chance(spark):
+    rng = random.Random(12)
+
+    def draw(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    # Passages amid other words have many different pieces, exact short texts one each.
+    passages = [draw(260) for _ in range(12)]
+    texts = [draw(150) + p + draw(150) for p in passages for _ in range(3)]
+    texts += [t for t in (draw(210) for _ in range(60)) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {d: int(c.sum()) for d, c in enumerate(brute_cover([t.encode() for t in texts], 200))}
+    assert min(want.values()) >= 210
+    found = suffix_dedup.report(df, pieces=1, hot_bits=64)
+    assert {r.doc_id: r.n_removed for r in found.collect()} == want
+
+
 def test_no_text_no_substrings(empty):
     assert suffix_dedup.report(empty).count() == 0
 
