@@ -256,8 +256,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     ``spans`` are the merged runs of hit words (word numbers, end exclusive), ``items`` the ids
     (as strings) of benchmark items with an occurring window. Null texts and texts without
     words have none. Items without words have no window; items that share a window both
-    count; a null item_id is no item but its windows hit. Repeated rows give repeated rows
-    when the benchmark fits one block, and one row otherwise. Empty tables are fine.
+    count; a null item_id is no item but its windows hit. Repeated rows give repeated rows,
+    however many blocks the benchmark has. Empty tables are fine.
     """
     spark = docs.sparkSession
     blocks = _blocks(benchmark, window, block) or [([], [])]
@@ -282,12 +282,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     union = passes[0]
     for other in passes[1:]:
         union = union.union(other)
+    # Repeated rows find the same in a pass; sets hold it once, and the rows come back after.
     together = union.groupBy(*KEY).agg(
         F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        F.flatten(F.collect_set("spans")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
-    return together.withColumn("spans", _merge("spans")).withColumn("doc_id", doc_id())
+    together = together.withColumn("spans", _merge("spans"))
+    return keyed(docs).join(together, KEY, "left").withColumn("doc_id", doc_id())
 
 
 def _merge(spans: str):

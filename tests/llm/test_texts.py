@@ -104,6 +104,14 @@ def test_decontamination_against_brute_force(docs, rows, bench, block):
     assert Counter(map(tuple, found.collect())) == want
 
 
+def test_every_row_returns_at_every_benchmark_size(docs, rows, bench):
+    assert len({(r[0], r[1]) for r in rows}) < len(rows)
+    whole, parts = (
+        Counter(map(tuple, fm_index.report(docs, bench[0], block=block).collect())) for block in (100_000, 7)
+    )
+    assert sum(parts.values()) == len(rows) and parts == whole
+
+
 def test_clean_keeps_the_others(docs, rows, bench):
     kept = fm_index.clean(docs, bench[0])
     assert kept.columns == docs.columns
