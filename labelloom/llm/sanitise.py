@@ -1,21 +1,22 @@
 """Information-theoretic sanitisation: personal data, and the terms that give it away.
 
 Base spans are found by pattern: email, ip, card, phone. Each distinct value is a protected
-entity. Terms are words within ``REACH`` words of an entity; the corpus tells how strongly a
-term reveals it. With documents as the unit, a term that stands near entity ``e`` in ``n(t,e)``
-documents and occurs in ``n(t)`` of ``N`` documents has the pointwise mutual information
+entity. Terms are all words of a document outside its base spans; the corpus tells how strongly
+a term reveals an entity. With documents as the unit, a term that shares ``n(t,e)`` documents
+with entity ``e`` and occurs in ``n(t)`` of ``N`` documents has the pointwise mutual information
 ``log(N n(t,e) / (n(t) n(e)))``, and the entity's own information is ``log(N / n(e))``. Their
 quotient is the share of the entity that the term discloses; 1 means that the term stands
-nowhere else. Terms seen near the entity in at least ``SUPPORT`` documents are removed from
-``REMOVE`` on and generalised from ``GENERALISE`` on, wherever they stand near the entity.
+nowhere else. Terms that share at least ``SUPPORT`` documents with the entity are removed from
+``REMOVE`` on and generalised from ``GENERALISE`` on, wherever they stand in a document with it.
 
-All documents are counted. Terms are words in lower case, kept as 64-bit digests.
+All documents are counted. Terms are words in lower case, kept as 64-bit digests. As ``n(t,e)``
+is at most ``n(e)``, a share of ``g`` needs ``n(t) <= N (n(e) / N) ** g``. Pairs beyond that are
+not formed: entities fall into levels by ``n(e)``, and filters tell each level's terms.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from labelloom.llm.common import KEY, doc_id, in_filter, keyed, membership_filter, stored
+from labelloom.llm.common import KEY, doc_id, in_filter, keyed, membership_filter, row_key, stored
 
-REACH = 8
 SUPPORT = 2
 GENERALISE = 0.8
 REMOVE = 0.95
+LEVEL = 8
+TERM_BITS = 1 << 25
+_PAIR_ROWS = 500_000
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -92,105 +95,185 @@ def _digest(value: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def near_terms(text: str, spans: list[tuple], reach: int = REACH) -> list[tuple[int, int, int, int]]:
-    """``(entity, term, start, end)`` of words within reach of a span and in no span."""
-    if not spans:
-        return []
+def words_outside(text: str, spans: list[tuple]) -> list[tuple[str, int, int]]:
+    """``(word, start, end)`` of the words in lower case between the spans; a span cuts a word."""
     out = []
-    starts, ends = [], []  # of what the spans cover, without overlaps
-    for a, b, _, _ in spans:
-        if ends and a < ends[-1]:
-            ends[-1] = max(ends[-1], b)
-        else:
-            starts.append(a)
-            ends.append(b)
-    for a, b, kind, value in spans:
-        entity = _digest(f"{kind}:{value}")
-        # Words before are taken from the text just before, which grows until it has enough.
-        size = 32 * reach
-        while True:
-            before = list(_WORD.finditer(text, max(0, a - size), a))
-            if len(before) > reach or size >= a:
-                break
-            size *= 2
-        after = []
-        for m in _WORD.finditer(text, b):
-            after.append(m)
-            if len(after) == reach:
-                break
-        for m in before[-reach:] + after:
-            at = bisect_left(ends, m.start() + 1)  # the first that ends behind the word's start
-            if at == len(ends) or starts[at] >= m.end():
-                out.append((entity, _digest(m[0].lower()), *m.span()))
+    at = 0
+    for a, b in [*((s[0], s[1]) for s in spans), (len(text), len(text))]:
+        if at < a:
+            out += [(m[0].lower(), *m.span()) for m in _WORD.finditer(text, at, a)]
+        at = max(at, b)
     return out
 
 
+def document_terms(text: str, spans: list[tuple]) -> set[str]:
+    """All distinct words of a text, and the parts that spans cut off words."""
+    found = {w.lower() for w in _WORD.findall(text)}
+    if spans:
+        found.update(w for w, _, _ in words_outside(text, spans))
+    return found
+
+
+def near_terms(text: str, spans: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """``(entity, term, start, end)`` of every word in no span, for each entity of the text."""
+    entities = sorted(_entities(spans))
+    words = [(_digest(w), a, b) for w, a, b in words_outside(text, spans)] if entities else []
+    return [(e, *w) for e in entities for w in words]
+
+
+def _entities(spans: list[tuple]) -> set[int]:
+    return {_digest(f"{kind}:{value}") for _, _, kind, value in spans}
+
+
 _SPANS = "array<struct<start:int,end:int,kind:string>>"
-_NEAR = "array<struct<entity:long,term:long,start:int,end:int>>"
 
 
-def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """Per document: row key, ``doc_id, base`` spans, the ``entities`` in it, ``near`` terms."""
-    schema = f"_lm_id long, _lm_text long, base {_SPANS}, entities array<long>, near {_NEAR}"
+def find(docs: DataFrame) -> DataFrame:
+    """Per document: row key, ``doc_id, base`` spans, the ``entities`` in it."""
+    schema = f"_lm_id long, _lm_text long, base {_SPANS}, entities array<long>"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            spans = [base_spans(t) for t in texts]
+            spans = [base_spans(t) for t in batch["text"]]
             out = batch.drop(columns="text")
             out["base"] = [[{"start": a, "end": b, "kind": k} for a, b, k, _ in s] for s in spans]
-            out["entities"] = [list({_digest(f"{k}:{v}") for _, _, k, v in s}) for s in spans]
-            out["near"] = [
-                [{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in near_terms(x, s, reach)]
-                for x, s in zip(texts, spans, strict=True)
-            ]
+            out["entities"] = [list(_entities(s)) for s in spans]
             yield out
 
     found = keyed(docs, "text").mapInPandas(scan, schema)
-    return found.select(*KEY, doc_id(), "base", "entities", "near")
+    return found.select(*KEY, doc_id(), "base", "entities")
+
+
+class _Digests(dict):
+    """Digests of the words seen last; it starts again when they grow many."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _PAIR_ROWS:
+            self.clear()
+        self[word] = own = _digest(word)
+        return own
 
-def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, n_term)``: documents that hold each wanted term, counted over all documents."""
-    words = docs.sparkSession.sparkContext.broadcast(membership_filter(terms, "term"))
+
+def _document_counts(docs: DataFrame) -> DataFrame:
+    """``(term, n_term)``: documents that hold each term, summed in each task before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int | None] = {}
-        counts: dict[int, int] = {}
+        counts: dict[str, int] = {}
+
+        def out() -> pd.DataFrame:
+            terms = np.fromiter(map(_digest, counts), np.int64, len(counts))
+            return pd.DataFrame({"term": terms, "n": np.fromiter(counts.values(), np.int64, len(counts))})
+
         for batch in batches:
             for text in batch["text"]:
-                seen = {w.lower() for w in _WORD.findall(text or "")}
-                new = [w for w in seen if w not in known]
-                if new:
-                    if len(known) > 500_000:
-                        known, new = {}, list(seen)
-                    digests = np.array([_digest(w) for w in new], np.int64)
-                    hit = in_filter(words.value, digests).tolist()
-                    known.update((w, d if h else None) for w, d, h in zip(new, digests.tolist(), hit, strict=True))
-                for word in seen:
-                    digest = known[word]
-                    if digest is not None:
-                        counts[digest] = counts.get(digest, 0) + 1
-            if len(counts) > 500_000:
-                yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
-                counts = {}
-        yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}, dtype="int64")
+                for word in document_terms(text or "", base_spans(text)):
+                    counts[word] = counts.get(word, 0) + 1
+                if len(counts) > _PAIR_ROWS:
+                    yield out()
+                    counts = {}
+        yield out()
 
     counted = docs.select("text").mapInPandas(count, "term long, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
+def _levels(terms: DataFrame, entities: DataFrame, total: int, support: int, generalise: float) -> list[tuple]:
+    """Filters ``(entities, terms)`` per level: entities in at least so many documents, and the
+    terms rare enough for the most frequent entity below the next level."""
+    top = entities.agg(F.max("n_entity")).first()[0] or 0
+    out, least = [], 1
+    while least <= top:
+        most = min(least * LEVEL, total)
+        if least * LEVEL > support:
+            own = membership_filter(entities.where(F.col("n_entity") >= max(least, support)), "entity")
+            # Without a positive threshold nothing is too frequent.
+            bound = total * (most / total) ** generalise * (1 + 1e-6) if generalise > 0 else float(total)
+            able = membership_filter(terms.where(F.col("n_term") <= bound), "term", TERM_BITS)
+            out.append((own, able))
+        least *= LEVEL
+    return out
+
+
+def _lowest(filters: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """The first filter that passes each value, or their number."""
+    out = np.full(len(values), len(filters))
+    for level in reversed(range(len(filters))):
+        out[in_filter(filters[level], values)] = level
+    return out
+
+
+def _pairs(docs: DataFrame, found: DataFrame, levels: list[tuple], support: int) -> DataFrame:
+    """``(entity, term, n_both)`` of pairs that share ``support`` documents and can be disclosing.
+
+    Rows are summed in each task. Repeated rows are one document, so those that may be repeated
+    (told by a filter) keep their key.
+    """
+    spark = docs.sparkSession
+    repeated = found.where(F.size("entities") > 0).groupBy(*KEY).count().where("count > 1")
+    again = membership_filter(repeated.select(F.xxhash64(*KEY).alias("row")), "row")
+    shared = spark.sparkContext.broadcast((levels, again))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        levels, again = shared.value
+        owns, ables = [x for x, _ in levels], [x for _, x in levels]
+        digests = _Digests()
+        counts: dict[tuple, int] = {}
+        seen: set[tuple] = set()
+
+        def out() -> pd.DataFrame:
+            rows = [(*k, n) for k, n in counts.items()]
+            return pd.DataFrame(rows, columns=["entity", "term", "again", *KEY, "n"]).astype(
+                {"again": bool} | {c: "int64" for c in ("entity", "term", *KEY, "n")}
+            )
+
+        for batch in batches:
+            maybe = in_filter(again, batch["row"].to_numpy()).tolist()
+            for own, digest, text, twice in zip(
+                batch["_lm_id"].tolist(), batch["_lm_text"].tolist(), batch["text"], maybe, strict=True
+            ):
+                spans = base_spans(text)
+                if not spans or (twice and (own, digest) in seen):
+                    continue
+                entities = np.array(list(_entities(spans)), np.int64)
+                # The last filter that passes an entity allows it the most terms.
+                level = len(owns) - 1 - _lowest(owns[::-1], entities)
+                if level.max() < 0:
+                    continue
+                key = (True, own, digest) if twice else (False, 0, 0)
+                if twice:
+                    seen.add((own, digest))
+                words = {w for w, _, _ in words_outside(text, spans)}
+                terms = np.fromiter((digests[w] for w in words), np.int64, len(words))
+                lowest = _lowest(ables, terms)
+                for entity, most in zip(entities.tolist(), level.tolist(), strict=True):
+                    for term in terms[lowest <= most].tolist():
+                        pair = (entity, term, *key)
+                        counts[pair] = counts.get(pair, 0) + 1
+                    if len(counts) > _PAIR_ROWS:
+                        yield out()
+                        counts = {}
+                if len(seen) > _PAIR_ROWS:
+                    seen = set()
+        yield out()
+
+    rows = keyed(docs, "text", F.xxhash64(*row_key()).alias("row"))
+    parts = rows.mapInPandas(count, "entity long, term long, again boolean, _lm_id long, _lm_text long, n long")
+    # Dealt by pair once; both sums work on that.
+    parts = parts.repartition("entity", "term").groupBy("entity", "term", "again", *KEY).agg(F.sum("n").alias("n"))
+    documents = F.sum(F.when(F.col("again"), F.lit(1)).otherwise(F.col("n")))
+    return parts.groupBy("entity", "term").agg(documents.alias("n_both")).where(F.col("n_both") >= support)
+
+
 def disclosures(
     docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """``(entity, term, disclosed, kind)`` of terms that reveal an entity too well."""
-    pairs = found.select(F.explode("near").alias("x"), *KEY).select("x.entity", "x.term", *KEY).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    pairs = stored(pairs, "disclosing-pairs")
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity")
-    entities = entities.agg(F.count(F.lit(1)).alias("n_entity"))
+    entities = entities.agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
+    entities = stored(entities, "entity-counts")
     total = found.count()
-    counts = _document_counts(docs, pairs.select("term").distinct())
+    counts = stored(_document_counts(docs).where(F.col("n_term") >= support), "term-counts")
+    pairs = stored(_pairs(docs, found, _levels(counts, entities, total, support, generalise), support), "pairs")
     joined = pairs.join(counts, "term").join(entities, "entity")
     mutual = F.log(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     # An entity in every document holds no information that a term could give away.
@@ -201,18 +284,55 @@ def disclosures(
     return judged.withColumn("kind", kind)
 
 
+def _places(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``(row key, start, end, kind)`` of flagged terms, wherever they stand beside their entity."""
+    filters = [membership_filter(flagged, c) for c in ("entity", "term")]
+    mixed = F.expr("entity ^ (shiftleft(term, 1) | shiftrightunsigned(term, 63))").alias("pair")
+    shared = docs.sparkSession.sparkContext.broadcast([*filters, membership_filter(flagged.select(mixed), "pair")])
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entity_filter, term_filter, pair_filter = shared.value
+        digests = _Digests()
+        for batch in batches:
+            out = []
+            for own, digest, text in zip(
+                batch["_lm_id"].tolist(), batch["_lm_text"].tolist(), batch["text"], strict=True
+            ):
+                spans = base_spans(text)
+                entities = np.array(list(_entities(spans)), np.int64)
+                entities = entities[in_filter(entity_filter, entities)]
+                if not len(entities):
+                    continue
+                words = words_outside(text, spans)
+                terms = np.fromiter((digests[w] for w, _, _ in words), np.int64, len(words))
+                hit = np.flatnonzero(in_filter(term_filter, terms))
+                at = np.array([w[1:] for w in words], np.int32).reshape(-1, 2)[hit]
+                terms = terms[hit]
+                code = terms.view(np.uint64)
+                code = ((code << np.uint64(1)) | (code >> np.uint64(63))).view(np.int64)
+                for entity in entities.tolist():
+                    both = in_filter(pair_filter, code ^ np.int64(entity))
+                    places = zip(terms[both].tolist(), *at[both].T.tolist(), strict=True)
+                    out += [(own, digest, entity, *place) for place in places]
+            names = [*KEY, "entity", "term", "start", "end"]
+            yield pd.DataFrame(out, columns=names).astype("int64").astype({"start": "int32", "end": "int32"})
+
+    schema = "_lm_id long, _lm_text long, entity long, term long, start int, end int"
+    marked = keyed(docs, "text").mapInPandas(mark, schema)
+    return marked.join(flagged, ["entity", "term"]).select(*KEY, "start", "end", "kind")
+
+
 def spans(docs: DataFrame, **thresholds) -> DataFrame:
     """Per document: row key, ``doc_id, base`` spans and ``all`` spans, each by start and kind.
 
     Null and empty texts have none. Repeated rows come back as often, and count as one
-    document when terms are counted near entities. Overlapping base spans all stay; a term
+    document when terms are counted with entities. Overlapping base spans all stay; a term
     inside a base span is none.
     """
     found = stored(find(docs), "personal-data")
-    flagged = disclosures(docs, found, **thresholds).select("entity", "term", "kind")
-    terms = found.select(*KEY, F.explode("near").alias("x")).select(*KEY, "x.*").join(flagged, ["entity", "term"])
-    # A word near two entities is one span; removal goes before generalisation.
-    terms = terms.groupBy(*KEY, "start", "end").agg(F.max("kind").alias("kind"))
+    flagged = stored(disclosures(docs, found, **thresholds).select("entity", "term", "kind"), "disclosing-pairs")
+    # A word beside two entities is one span; removal goes before generalisation.
+    terms = _places(docs, flagged).groupBy(*KEY, "start", "end").agg(F.max("kind").alias("kind"))
     added = terms.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end", "kind")).alias("added"))
     every = F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))
     return found.join(added, KEY, "left").select(*KEY, "doc_id", "base", _sorted(every).alias("all"))

@@ -203,6 +203,23 @@ def test_terms_against_brute_force(docs, rows):
     assert {(r.entity, r.term): round(r.disclosed, 9) for r in found.collect()} == want
 
 
+def test_terms_far_from_their_entity_are_found(spark):
+    filler = " ".join(f"plain{i}" for i in range(40))
+    texts = [f"Zanzibar {filler} zanzibar {filler} write to boss@corp.example" for _ in range(3)]
+    texts += [f"{filler} {i} write to other{i}@corp.example" for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(40, "tango a1@corp.example")] * 2 + [(None, "samba a2@corp.example"), (41, "samba a2@corp.example")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.spans for r in sanitise.report(df).collect()}
+    for i in range(3):
+        at = [m.span() for m in re.finditer("zanzibar", texts[i].lower())]
+        mail = texts[i].index("boss")
+        assert found[i] == ",".join([f"removed:{a}:{b}" for a, b in at] + [f"email:{mail}:{mail + 17}"])
+    assert found[10].startswith("email:") and "," not in found[10]
+    assert found[40] == "email:6:21"  # repeated rows are one document
+    assert found[41] == "removed:0:5,email:6:21" == found[None]
+
+
 # --- language model
 
 
