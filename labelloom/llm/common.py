@@ -90,3 +90,22 @@ def in_filter(words: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of the int64 values the filter passes."""
     bit = values & ((len(words) << 6) - 1)
     return (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+#: Keys that hold more than one in so many rows are joined by broadcast: at most that many.
+HOT_KEYS = 4096
+
+
+def joined_hot(rows: DataFrame, table: DataFrame, key: str, n: str, most: int = HOT_KEYS) -> DataFrame:
+    """Inner join of rows with their one row of a table, whatever share of the rows a key holds.
+
+    Column ``n`` of the table says how many rows have the key. Keys with more than one in
+    ``most`` of all rows are at most ``most`` many and are broadcast; no other is frequent, so
+    the rest meets by a shuffle without skew. The table should be stored and narrow.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * most > total
+    hot = table.where(is_hot)
+    often = rows.join(F.broadcast(hot), key)
+    seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~is_hot), key)
+    return often.unionByName(seldom)

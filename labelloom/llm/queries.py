@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import fm_index, importance, lbl, lines, mixing, sanitise, simhash, suffix_dedup, token_counts, va_file
+from labelloom.llm import (
+    alignment,
+    fm_index,
+    importance,
+    lbl,
+    lines,
+    mixing,
+    sanitise,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    target_sampling,
+    token_counts,
+    va_file,
+)
 from labelloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +74,19 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = (str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.measured(table(spark, folder, "documents"), *paths)
+
+
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(table(spark, folder, "documents"))
+
+
+def op13_target_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    return target_sampling.sample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_importance": op2_importance,
@@ -71,6 +98,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_lbl": op9_lbl,
     "op10_decontamination": op10_decontamination,
+    "op11_alignment": op11_alignment,
+    "op12_secrets": op12_secrets,
+    "op13_target_sampling": op13_target_sampling,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
