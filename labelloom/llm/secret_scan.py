@@ -28,6 +28,7 @@ LEAST_RUN = 16
 LEAST_IDENTIFIER = 6
 THRESHOLD = 12_000
 SCALE = 1000
+PRIOR = 16
 #: Characters of a run; the models know these and the begin of a string.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 BEGIN = "^"
@@ -106,26 +107,25 @@ def transitions(strings: DataFrame) -> DataFrame:
 
 
 def log_ratios(random: dict[str, int], ordinary: dict[str, int], scale: int = SCALE) -> dict[str, int]:
-    """Per pair of characters the log ratio of both models, each count one higher, in thousandths."""
+    """Per pair of characters the log ratio of both models, in whole thousandths.
 
-    def sums(counts: dict[str, int]) -> dict[str, int]:
-        out = dict.fromkeys(BEGIN + ALPHABET, 0)
+    A model's chance of a character after another rests on their count, and like ``PRIOR`` more
+    observations on the character's own share among all, each of which counts one more.
+    """
+
+    def model(counts: dict[str, int]) -> dict[str, float]:
+        before, own = dict.fromkeys(BEGIN + ALPHABET, 0), dict.fromkeys(ALPHABET, 1)
         for pair, n in counts.items():
-            if pair[0] in out and pair[1] in out:
-                out[pair[0]] += n
-        return out
-
-    size, of_random, of_ordinary = len(ALPHABET), sums(random), sums(ordinary)
-    return {
-        a + b: math.floor(
-            scale
-            * math.log(
-                (random.get(a + b, 0) + 1) * (of_ordinary[a] + size) / ((ordinary.get(a + b, 0) + 1) * (of_random[a] + size))
-            )
-        )
-        for a in BEGIN + ALPHABET
-        for b in ALPHABET
-    }
+            if pair[0] in before and pair[1] in own:
+                before[pair[0]] += n
+                own[pair[1]] += n
+        every = sum(own.values())
+        return {
+            a + b: (counts.get(a + b, 0) + PRIOR * own[b] / every) / (before[a] + PRIOR) for a in before for b in own
+        }
+
+    first, second = model(random), model(ordinary)
+    return {pair: math.floor(scale * math.log(p / second[pair])) for pair, p in first.items()}
 
 
 def train(docs: DataFrame, found: DataFrame) -> dict[str, int]:

@@ -41,15 +41,18 @@ def brute(cells):
     counts = [Counter(p for s in part for p in map("".join, zip("^" + s, s, strict=False))) for part in (secrets, words)]
     signs = scan.ALPHABET
 
-    def p(count, a, b):
-        return count[a + b] + 1, sum(count[a + x] for x in signs) + len(signs)
+    every = [len(signs) + sum(c[x + y] for x in "^" + signs for y in signs) for c in counts]
+
+    def p(k, a, b):
+        own = 1 + sum(counts[k][x + b] for x in "^" + signs)
+        return (counts[k][a + b] + 16 * own / every[k]) / (sum(counts[k][a + x] for x in signs) + 16)
+
+    ratio = {
+        a + b: math.floor(1000 * math.log(p(0, a, b) / p(1, a, b))) for a in "^" + signs for b in signs
+    }
 
     def score(s):
-        total = 0
-        for a, b in zip("^" + s, s, strict=False):
-            (x, m), (y, n) = (p(c, a, b) for c in counts)
-            total += math.floor(1000 * math.log(x * n / (y * m)))
-        return total
+        return sum(ratio[a + b] for a, b in zip("^" + s, s, strict=False))
 
     def written(spans):
         return ",".join(f"{scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
