@@ -17,19 +17,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from labelloom.llm.common import discard, joined_hot, stored
-from labelloom.llm.token_counts import CACHE_ROWS, pre_tokens
+from labelloom.llm.token_counts import CACHE_ROWS
 
 #: Frequent pairs that are broadcast at most: 16 MB.
 TABLE = 1 << 20
-_CHUNK_PAIRS = 1 << 20
+_CHUNK_PAIRS = 1 << 19
+_CHUNK_CHARS = 1 << 20
 #: Links of one group beyond which it is counted by distinct ids, not link by link.
 _WIDE = 1 << 12
 
@@ -69,30 +71,69 @@ class ByteTokenizer:
         for token, i in ranks.items():
             self.tokens[i] = token
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
+    def encode(self, units: list[str]) -> list[list[int]]:
+        return [self.encoding.encode_ordinary(u) for u in units]
 
 
 class PieceTokenizer:
-    """A sentencepiece model; pre-tokens that nothing merges across are encoded once a task."""
+    """A sentencepiece model with byte fallback and identity normaliser."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.known: dict[str, list[int]] = {}
         pieces = [(self.model.id_to_piece(i), self.model.is_byte(i)) for i in range(self.model.get_piece_size())]
         self.tokens = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces]
 
-    def encode(self, text: str) -> np.ndarray:
-        words = pre_tokens(text)
-        if len(self.known) > CACHE_ROWS:
-            self.known = {}
-        new = list({w for w in words if w not in self.known})
-        # A line end before a pre-token keeps the space that the model adds apart from it.
-        found = self.model.encode(["\n" + w for w in new], num_threads=1)
-        self.known.update((w, ids[2:]) for w, ids in zip(new, found, strict=True))
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int64)
+    def encode(self, units: list[str]) -> list[list[int]]:
+        # A line end before a unit keeps the space that the model adds apart from it.
+        return [ids[2:] for ids in self.model.encode(["\n" + u for u in units], num_threads=1)]
+
+
+#: Between two units of a text a token of either tokenizer ends: before a single space between
+#: two characters that are no white space.
+_UNIT = re.compile(r"(?<=\S)(?= \S)")
+
+
+class Units:
+    """Ids of the units of texts in both tokenizers; a task encodes each unit once.
+
+    The cache starts again when it holds ``CACHE_ROWS`` units. A unit that the pieces do not give
+    back byte for byte is broken; byte-level tokens always give theirs back.
+    """
+
+    def __init__(self, a: ByteTokenizer, b: PieceTokenizer) -> None:
+        self.a, self.b = a, b
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids_a: dict[str, bytes] = {}
+        self.ids_b: dict[str, bytes] = {}
+        self.broken: set[str] = set()
+
+    def _add(self, units: list[str]) -> None:
+        token = self.b.tokens.__getitem__
+        for unit, a, b in zip(units, self.a.encode(units), self.b.encode(units), strict=True):
+            self.ids_a[unit] = array("i", a).tobytes()
+            self.ids_b[unit] = array("i", b).tobytes()
+            if b"".join(map(token, b)) != unit.encode():
+                self.broken.add(unit)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of each text in both, or None where the pieces do not give the text back."""
+        if len(self.ids_a) > CACHE_ROWS:
+            self._clear()
+        # The piece model reads its own sign for a space as a space.
+        split = [None if "▁" in t else _UNIT.split(" " + t) for t in texts]
+        new = list({u for units in split if units for u in units if u not in self.ids_a})
+        if new:
+            self._add(new)
+        for units in split:
+            if units is None or not self.broken.isdisjoint(units):
+                yield None
+            else:
+                ids = (b"".join(map(x.__getitem__, units)) for x in (self.ids_a, self.ids_b))
+                yield tuple(np.frombuffer(x, np.int32).astype(np.int64) for x in ids)
 
 
 class Aligner:
@@ -100,6 +141,7 @@ class Aligner:
 
     def __init__(self, byte_path: str, piece_path: str) -> None:
         self.a, self.b = ByteTokenizer(byte_path), PieceTokenizer(piece_path)
+        self.units = Units(self.a, self.b)
         self.size_b = len(self.b.tokens)
         self.long_a, self.long_b = (np.array([len(t) for t in x.tokens], np.int64) for x in (self.a, self.b))
         # Every id written with each sign that may follow it.
@@ -107,17 +149,15 @@ class Aligner:
         self.signs_b = np.array([f"{i}{s}" for i in range(self.size_b) for s in ",;"], object)
 
     def align(self, text: str | None) -> tuple:
+        """Measures, groups and pairs of one text; see :meth:`align_ids`."""
+        return self.align_ids(next(self.units.encode([text])) if text else None)
+
+    def align_ids(self, ids: tuple[np.ndarray, np.ndarray] | None) -> tuple:
         """``(n_a, n_b, n_groups, n_links, groups, pairs, links)``: the groups as text, the distinct
         pairs as ``a * size_b + b`` in order, and the links of each."""
-        none = (0, 0, 0, 0, None, np.zeros(0, np.int64), np.zeros(0, np.int64))
-        if not text:
-            return none
-        whole = (" " + text).encode()
-        a, b = self.a.encode(text), self.b.encode(text)
-        if b"".join(map(self.a.tokens.__getitem__, a.tolist())) != whole:
-            return none
-        if b"".join(map(self.b.tokens.__getitem__, b.tolist())) != whole:
-            return none
+        if ids is None:
+            return 0, 0, 0, 0, None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = ids
         end_a, end_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
         at = np.searchsorted(end_b, end_a)
         ends = end_a[end_b[at] == end_a]
@@ -165,6 +205,14 @@ def _key():
     return F.unhex(F.md5("text"))
 
 
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows about a million characters of text at a time."""
+    for batch in batches:
+        part = (batch["text"].map(len).cumsum() // _CHUNK_CHARS).to_numpy()
+        for _, rows in batch.groupby(part):
+            yield rows
+
+
 def alignments(texts: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """Per distinct text its measures, groups digest, and distinct pairs ``a, b`` with their links."""
 
@@ -172,11 +220,13 @@ def alignments(texts: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         aligner = Aligner(byte_path, piece_path)
         rows, size = [], 0
         names = ["key", "n", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "links"]
-        for batch in batches:
-            for key, text, n in zip(batch["key"], batch["text"], batch["n"].tolist(), strict=True):
-                *measures, groups, pairs, links = aligner.align(text)
+        for part in _chunks(batches):
+            found = aligner.units.encode(part["text"].tolist())
+            for key, n, ids in zip(part["key"], part["n"].tolist(), found, strict=True):
+                *measures, groups, pairs, links = aligner.align_ids(ids)
                 digest = "" if groups is None else hashlib.sha256(groups.encode()).hexdigest()
-                rows.append((key, n, *measures, digest, *np.divmod(pairs, aligner.size_b), links))
+                a, b = np.divmod(pairs, aligner.size_b)
+                rows.append((key, n, *measures, digest, a.astype(np.int32), b.astype(np.int32), links.astype(np.int32)))
                 size += len(pairs)
                 if size >= _CHUNK_PAIRS:
                     yield pd.DataFrame(rows, columns=names)
