@@ -122,40 +122,36 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _line_counts(lines: DataFrame, buckets: int) -> DataFrame:
-    """Per distinct line its feature counts by bucket; rows with ``n`` 0 hold a task's sums over
-    all occurrences of its lines."""
+    """Per distinct line its occurrences ``n`` and feature counts by bucket."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(buckets, np.int64)
         for rows in _chunks(batches):
             bucket, owner = line_features(rows["line"].tolist(), buckets)
             code, n = np.unique(owner * buckets + bucket, return_counts=True)
             owner, bucket = np.divmod(code, buckets)
             edges = np.searchsorted(owner, np.arange(len(rows) + 1))
-            np.add.at(sums, bucket, n * rows["n"].to_numpy()[owner])
             cuts = list(zip(edges[:-1], edges[1:], strict=True))
             yield pd.DataFrame(
                 {
                     "key": rows["key"].to_numpy(),
                     "n": rows["n"].to_numpy(),
                     "buckets": [bucket[i:j] for i, j in cuts],
-                    "counts": [n[i:j] for i, j in cuts],
+                    "counts": [n[i:j].astype(np.int32) for i, j in cuts],
                 }
             )
-        at = np.flatnonzero(sums)
-        yield pd.DataFrame({"key": [b""], "n": [0], "buckets": [at], "counts": [sums[at]]})
 
-    schema = "key binary, n long, buckets array<int>, counts array<long>"
+    schema = "key binary, n long, buckets array<int>, counts array<int>"
     return stored(lines.mapInPandas(count, schema), "line-features")
 
 
 def bucket_counts(segments: DataFrame, features: DataFrame, buckets: int) -> np.ndarray:
     """Occurrences of every bucket's features in all texts."""
-    inside = features.where("n = 0").select(F.inline(F.arrays_zip("buckets", "counts")))
-    over = segments.select(F.explode("across").alias("buckets"), F.lit(1).cast("long").alias("counts"))
-    sums = inside.union(over).groupBy("buckets").agg(F.sum("counts").alias("n")).toArrow()  # a row per bucket
+    inside = features.select("n", F.inline(F.arrays_zip("buckets", "counts")))
+    inside = inside.groupBy("buckets").agg(F.sum(F.col("n") * F.col("counts")).alias("n"))
+    over = segments.select(F.explode("across").alias("buckets")).groupBy("buckets").agg(F.count(F.lit(1)).alias("n"))
+    sums = inside.union(over).toArrow()  # two rows per bucket at most
     out = np.zeros(buckets, np.int64)
-    out[sums["buckets"].to_numpy()] = sums["n"].to_numpy()
+    np.add.at(out, sums["buckets"].to_numpy(), sums["n"].to_numpy())
     return out
 
 
@@ -186,7 +182,7 @@ def weigh(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFra
     def across_gain(found: pd.Series) -> pd.Series:
         return pd.Series([int(gain.value[b].sum()) if len(b) else 0 for b in found], dtype="int64")
 
-    features, lines = lines, lines.where("n > 0").select(
+    features, lines = lines, lines.select(
         "key",
         "n",
         F.expr("aggregate(counts, 0L, (x, y) -> x + y)").alias("n_features"),
