@@ -154,27 +154,59 @@ class _Digests(dict):
         return own
 
 
-def _document_counts(docs: DataFrame) -> DataFrame:
-    """``(term, n_term)``: documents that hold each term, summed in each task before the shuffle."""
+def _repeated(found: DataFrame) -> np.ndarray:
+    """A filter of the rows that may stand in the table several times."""
+    return membership_filter(found.groupBy(*KEY).count().where("count > 1").select(_row().alias("row")), "row")
+
+
+def _row():
+    return F.xxhash64(*KEY)
+
+
+def _document_counts(docs: DataFrame, again: np.ndarray) -> DataFrame:
+    """``(term, n_term)``: documents that hold each term, summed in each task before the shuffle.
+
+    Repeated rows are one document: rows that the filter names keep their key until the shuffle.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(again)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, int] = {}
+        kept: list[tuple] = []
+        seen: set[tuple] = set()
 
         def out() -> pd.DataFrame:
-            terms = np.fromiter(map(_digest, counts), np.int64, len(counts))
-            return pd.DataFrame({"term": terms, "n": np.fromiter(counts.values(), np.int64, len(counts))})
+            rows = [(_digest(w), False, 0, 0, n) for w, n in counts.items()]
+            return pd.DataFrame(rows + kept, columns=["term", "again", *KEY, "n"]).astype(
+                {"again": bool} | {c: "int64" for c in ("term", *KEY, "n")}
+            )
 
         for batch in batches:
-            for text in batch["text"]:
-                for word in document_terms(text or "", base_spans(text)):
-                    counts[word] = counts.get(word, 0) + 1
-                if len(counts) > _PAIR_ROWS:
+            maybe = in_filter(shared.value, batch["row"].to_numpy()).tolist()
+            for own, digest, text, twice in zip(
+                batch["_lm_id"].tolist(), batch["_lm_text"].tolist(), batch["text"], maybe, strict=True
+            ):
+                if twice and (own, digest) in seen:
+                    continue
+                terms = document_terms(text or "", base_spans(text))
+                if twice:
+                    seen.add((own, digest))
+                    kept += [(_digest(w), True, own, digest, 1) for w in terms]
+                else:
+                    for word in terms:
+                        counts[word] = counts.get(word, 0) + 1
+                if len(counts) + len(kept) > _PAIR_ROWS:
                     yield out()
-                    counts = {}
+                    counts, kept = {}, []
+                if len(seen) > _PAIR_ROWS:
+                    seen = set()
         yield out()
 
-    counted = docs.select("text").mapInPandas(count, "term long, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
+    rows = keyed(docs, "text", F.xxhash64(*row_key()).alias("row"))
+    parts = rows.mapInPandas(count, "term long, again boolean, _lm_id long, _lm_text long, n long")
+    # Dealt by all columns, so that a term of many repeated rows is no hot key.
+    parts = parts.groupBy("term", "again", *KEY).agg(F.sum("n").alias("n"))
+    return parts.groupBy("term").agg(F.sum(F.when(F.col("again"), F.lit(1)).otherwise(F.col("n"))).alias("n_term"))
 
 
 def _levels(terms: DataFrame, entities: DataFrame, total: int, support: int, generalise: float) -> list[tuple]:
@@ -202,16 +234,13 @@ def _lowest(filters: list[np.ndarray], values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(docs: DataFrame, found: DataFrame, levels: list[tuple], support: int) -> DataFrame:
+def _pairs(docs: DataFrame, again: np.ndarray, levels: list[tuple], support: int) -> DataFrame:
     """``(entity, term, n_both)`` of pairs that share ``support`` documents and can be disclosing.
 
     Rows are summed in each task. Repeated rows are one document, so those that may be repeated
     (told by a filter) keep their key.
     """
-    spark = docs.sparkSession
-    repeated = found.where(F.size("entities") > 0).groupBy(*KEY).count().where("count > 1")
-    again = membership_filter(repeated.select(F.xxhash64(*KEY).alias("row")), "row")
-    shared = spark.sparkContext.broadcast((levels, again))
+    shared = docs.sparkSession.sparkContext.broadcast((levels, again))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels, again = shared.value
@@ -268,12 +297,15 @@ def disclosures(
     docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """``(entity, term, disclosed, kind)`` of terms that reveal an entity too well."""
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity")
+    # Repeated rows are one document in every count.
+    rows = found.where(F.size("entities") > 0).dropDuplicates(KEY)
+    entities = rows.select(F.explode("entities").alias("entity")).groupBy("entity")
     entities = entities.agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
     entities = stored(entities, "entity-counts")
-    total = found.count()
-    counts = stored(_document_counts(docs).where(F.col("n_term") >= support), "term-counts")
-    pairs = stored(_pairs(docs, found, _levels(counts, entities, total, support, generalise), support), "pairs")
+    total = found.select(*KEY).distinct().count()
+    again = _repeated(found)
+    counts = stored(_document_counts(docs, again).where(F.col("n_term") >= support), "term-counts")
+    pairs = stored(_pairs(docs, again, _levels(counts, entities, total, support, generalise), support), "pairs")
     joined = pairs.join(counts, "term").join(entities, "entity")
     mutual = F.log(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     # An entity in every document holds no information that a term could give away.
@@ -326,7 +358,7 @@ def spans(docs: DataFrame, **thresholds) -> DataFrame:
     """Per document: row key, ``doc_id, base`` spans and ``all`` spans, each by start and kind.
 
     Null and empty texts have none. Repeated rows come back as often, and count as one
-    document when terms are counted with entities. Overlapping base spans all stay; a term
+    document in every count. Overlapping base spans all stay; a term
     inside a base span is none.
     """
     found = stored(find(docs), "personal-data")

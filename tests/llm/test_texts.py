@@ -94,9 +94,8 @@ def test_decontamination_against_brute_force(docs, rows, bench, block):
     for i, t in items:
         for w in fm_index.windows_of(t):
             windows.setdefault(w, set()).update(set() if i is None else {str(i)})
-    seen = rows if block > 100 else list({(r[0], r[1]): r for r in rows}.values())
     want = Counter()
-    for r in seen:
+    for r in rows:
         n, hit, found = brute_hits(r[1], windows)
         ids = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         want[(r[0], n, hit, len(found), ids, hit > 0 and 20 * hit >= n)] += 1
@@ -183,17 +182,14 @@ def test_revealing_terms_are_found(spark):
 
 
 def test_terms_against_brute_force(docs, rows):
-    texts = [r[1] or "" for r in rows]
-    seen = {(r[0], r[1]): r[1] or "" for r in rows}
+    texts = list({(r[0], r[1]): r[1] or "" for r in rows}.values())  # repeated rows are one document
     near, holds = Counter(), Counter()
-    for text in seen.values():
-        spans = sanitise.base_spans(text)
-        near.update({(e, t) for e, t, _, _ in sanitise.near_terms(text, spans)})
     for text in texts:
         spans = sanitise.base_spans(text)
+        near.update({(e, t) for e, t, _, _ in sanitise.near_terms(text, spans)})
         holds.update({sanitise._digest(f"{k}:{v}") for _, _, k, v in spans})
     term = Counter(x for t in texts for x in {sanitise._digest(w.lower()) for w in sanitise._WORD.findall(t)})
-    n = len(rows)
+    n = len(texts)
     want = {}
     for (e, t), both in near.items():
         share = math.log(n * both / (term[t] * holds[e])) / math.log(n / holds[e])
@@ -203,6 +199,15 @@ def test_terms_against_brute_force(docs, rows):
     assert {(r.entity, r.term): round(r.disclosed, 9) for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("copies", [1, 2, 5, 50])
+def test_copies_of_a_row_hide_no_term(spark, copies):
+    rows = [(1, "zanzibar write to boss@corp.example")] * copies + [(2, "zanzibar and boss@corp.example")]
+    rows += [(10 + i, f"plain words {i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.spans for r in sanitise.report(df).where("doc_id < 3").collect()}
+    assert found[1].startswith("removed:0:8,") and found[2].startswith("removed:0:8,")
+
+
 def test_terms_far_from_their_entity_are_found(spark):
     filler = " ".join(f"plain{i}" for i in range(40))
     texts = [f"Zanzibar {filler} zanzibar {filler} write to boss@corp.example" for _ in range(3)]
