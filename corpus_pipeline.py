@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from labelloom.llm import fm_index, importance, lines, mixing, simhash
-from labelloom.llm.common import stored, table
+from labelloom.llm.common import discard, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each stored and read back before the next."""
     docs = table(spark, sf_dir, "documents")
     for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = stored(docs, "pipeline")
-    return docs
+        kept = stage(spark, docs, sf_dir)
+        if at == len(STAGES) - 1:
+            return kept
+        kept = stored(kept, "pipeline")
+        if at:
+            discard(docs)
+        docs = kept
