@@ -59,11 +59,23 @@ def roll_up_wide(
     return df.select(*keep, *rolled)
 
 
-def roll_up_long(cells: DataFrame, taxonomy: DataFrame, keys: Sequence[str]) -> DataFrame:
+def roll_up_long(
+    cells: DataFrame, taxonomy: DataFrame, keys: Sequence[str], unknown: str = "raise"
+) -> DataFrame:
     """Category labels from rows ``(keys…, value, y)``: the maximum over the children.
 
+    A value that the taxonomy lacks, or a null one, fails the job. With ``unknown="keep"`` such
+    cells are rolled up under a null category instead, so that nothing goes uncounted.
     The taxonomy is a small table; Spark broadcasts it when its size allows. The
     maximum combines on the map side.
     """
-    parents = taxonomy.select("category", "value").distinct()
-    return cells.join(parents, "value").groupBy(*keys, "category").agg(F.max("y").alias("y"))
+    if unknown not in ("raise", "keep"):
+        raise ValueError("unknown must be 'raise' or 'keep'")
+    # a name of its own, so that a null category in the taxonomy is no missing value
+    parents = taxonomy.select("category", "value").distinct().withColumn("_known", F.lit(True))
+    found = cells.join(parents, "value", "left")
+    if unknown == "raise":
+        message = F.concat(F.lit("value outside the taxonomy: "), F.coalesce(F.col("value"), F.lit("null")))
+        stray = F.raise_error(message).cast("string")
+        found = found.withColumn("category", F.when(F.col("_known"), F.col("category")).otherwise(stray))
+    return found.groupBy(*keys, "category").agg(F.max("y").alias("y"))

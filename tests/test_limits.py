@@ -142,3 +142,35 @@ def test_index_is_saved_on_a_new_best_only(spark, tmp_path):
     assert not save_index_if_best(index, spark.createDataFrame(log, schema), 10, path)
     assert save_index_if_best(index, spark.createDataFrame([*log, ("r", 2, 0.6)], schema), 10, path)
     assert load_index(spark, path).count() == 1
+
+
+def test_values_outside_the_taxonomy_are_not_lost(spark):
+    from labelloom.operators.rollup import roll_up_long
+
+    taxonomy = spark.createDataFrame([("care", "help"), ("care", "love"), ("power", "rule")], "category string, value string")
+    cells = spark.createDataFrame(
+        [(1, "help", 1), (1, "love", 0), (1, "rule", 0), (2, "stray", 1), (2, None, 1)], "id long, value string, y int"
+    )
+    kept = roll_up_long(cells, taxonomy, ["id"], unknown="keep").collect()
+    assert {tuple(r) for r in kept} == {(1, "care", 1), (1, "power", 0), (2, None, 1)}
+    known = roll_up_long(cells.where("id = 1"), taxonomy, ["id"])
+    assert {tuple(r) for r in known.collect()} == {(1, "care", 1), (1, "power", 0)}
+    with pytest.raises(Exception, match="outside the taxonomy: (stray|null)"):
+        roll_up_long(cells, taxonomy, ["id"]).collect()
+
+
+def test_one_pass_gives_the_weights_of_two(spark):
+    from labelloom.operators.tfidf import counted_idf, fit_idf, fit_tfidf, term_counts, tfidf
+
+    docs = spark.createDataFrame(
+        [(1, "red apple red"), (2, "green apple"), (3, ""), (4, None), (5, "red the pear")], "id long, t string"
+    )
+    twice = tfidf(docs, fit_idf(docs, "t", ["the"]), "id", "t", ["the"])
+    once = fit_tfidf(docs, "id", "t", ["the"])
+    assert {(r[0], r[1], r[2], round(r[3], 12)) for r in once.collect()} == {
+        (r[0], r[1], r[2], round(r[3], 12)) for r in twice.collect()
+    }
+    counts = term_counts(docs, "id", "t", ["the"], keep_empty=True)
+    assert {tuple(r) for r in counted_idf(counts, docs).collect()} == {tuple(r) for r in fit_idf(docs, "t", ["the"]).collect()}
+    plan = term_counts(docs, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the texts; their counts need none
