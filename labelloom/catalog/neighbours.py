@@ -9,9 +9,11 @@ from labelloom.functions.labels import one_hot
 from labelloom.functions.portable import uniform
 from labelloom.functions.vectors import euclidean, kernel, l2_normalize, log_softmax, masked_softmax
 from labelloom.operators.ensemble import threshold_columns
+from labelloom.operators.cells import read_cells, write_cells
 from labelloom.operators.folds import assign_folds
 from labelloom.operators.inference import blended_scores, mean_vector_arrays, mean_vectors
-from labelloom.operators.knn import knn_label_scores, nearest_neighbours
+from labelloom.operators.knn import knn_label_scores, nearest_neighbours, search_cells
+from labelloom.session import new_path
 
 CLASSES = [f"class{i}" for i in range(10)]
 SQL_CELLS = "cells AS (SELECT vec_id, label, unnest(range(0, 64))::INTEGER AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)"
@@ -84,16 +86,16 @@ def masked(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("x", rounded("x"))
 
 
-@query(
-    "knn_topk",
-    """WITH pairs AS (
+SQL_TOPK = """WITH pairs AS (
          SELECT a.vec_id AS query_id, b.vec_id AS row_id,
                 list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
          FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
        SELECT query_id, row_id, round(distance, 6) AS distance,
               (row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id))::INTEGER AS rank
-       FROM pairs QUALIFY rank <= 32""",
-)
+       FROM pairs QUALIFY rank <= 32"""
+
+
+@query("knn_topk", SQL_TOPK)
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     found = nearest_neighbours(
@@ -104,6 +106,16 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "row_id", rounded("distance").alias("distance"), "rank")
 
 
+@query("knn_stored_cells", SQL_TOPK)
+def knn_stored_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same search over an index that was stored in cells, whatever its size."""
+    vectors = table(spark, d, "embeddings")
+    path = new_path(spark, "cells")
+    write_cells(vectors, path, "vec_id", block_rows=64)
+    found = search_cells(vectors, read_cells(spark, path), query_id="vec_id", exclude_self=True)
+    return found.select(F.col("vec_id").alias("query_id"), "row_id", rounded("distance").alias("distance"), "rank")
+
+
 def folded_vectors(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").withColumn("labels", one_hot(F.col("label"), 10))
     return assign_folds(vectors, ["vec_id"])
@@ -134,6 +146,18 @@ def label_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.withColumn("score", rounded("score"))
 
 
+@query("knn_stored_labels", f"WITH {SQL_NEAR} SELECT query_id, pos, round(score, 6) AS score FROM scores")
+def knn_stored_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Label scores over a stored index; label vectors meet the final neighbours only."""
+    folded = folded_vectors(spark, d)
+    path = new_path(spark, "cells")
+    write_cells(folded, path, "vec_id", payload=["labels"], group="fold", block_rows=64)
+    queries = folded.withColumnRenamed("vec_id", "query_id")
+    found = search_cells(queries, read_cells(spark, path), exclude_group="fold")
+    scores = knn_label_scores(found, 10).select("query_id", F.posexplode("knn").alias("pos", "score"))
+    return scores.withColumn("score", rounded("score"))
+
+
 @query(
     "score_blend",
     f"""WITH {SQL_NEAR}, mixed AS (
