@@ -17,7 +17,7 @@ from labelloom.functions.text import english_stop_words
 from labelloom.operators.columns import preview, stack
 from labelloom.operators.metrics import table_profile
 from labelloom.operators.linear import predict_svm
-from labelloom.operators.positions import row_position
+from labelloom.operators.positions import file_position
 from labelloom.operators.rollup import taxonomy_levels
 from labelloom.plans import cross_validate_svm, ensemble_vote, evaluate_files, prepare
 from labelloom.sources import (
@@ -72,12 +72,13 @@ def train(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def predict(spark: SparkSession, args: argparse.Namespace) -> None:
-    arguments = stack(*[read_arguments(spark, path, "test") for path in args.arguments])
+    inputs = [read_arguments(spark, path, "test") for path in args.arguments]
+    arguments = stack(*inputs)
     names = level_names(spark, args.taxonomy, args.level)
-    placed = row_position(arguments, [ID])
+    placed = file_position(inputs, [ID])
     words = stop_words(spark, args.stop_words)
     folds = [
-        predict_svm(placed, load_linear_model(spark, f"{args.models}/fold={n}"), stop_words=words)
+        predict_svm(arguments, load_linear_model(spark, f"{args.models}/fold={n}"), stop_words=words)
         for n in range(1, args.folds + 1)
     ]
     voted = ensemble_vote(placed, folds, names, position="row_pos")

@@ -23,10 +23,10 @@ from labelloom.operators.columns import label_dataset as make_dataset
 from labelloom.operators.folds import assign_folds, fold_pair
 from labelloom.operators.inference import embed_descriptions, hashed_encoder
 from labelloom.operators.linear import predict_svm
-from labelloom.operators.positions import row_position
+from labelloom.operators.positions import file_position, row_position
 from labelloom.operators.rollup import label_descriptions
 from labelloom.plans.evaluate import evaluate_files
-from labelloom.plans.predict import ensemble_vote, predict_text_model
+from labelloom.plans.predict import ensemble_vote, predict_fold_ensemble, predict_text_model
 from labelloom.plans.train import build_fold_index
 from labelloom.session import new_path
 from labelloom.sources import (
@@ -220,6 +220,52 @@ SELECT k::VARCHAR AS "Argument ID",
 FROM near GROUP BY k"""
 
 
+SQL_FOLD_ENSEMBLE = SQL_TEXT_PREDICT[: SQL_TEXT_PREDICT.index("), near AS (")].replace(
+    "l AS (SELECT doc_id, text,", f"l AS (SELECT ntile(6) OVER (ORDER BY {sql_order('2', 'doc_id')}) AS fold, doc_id, text,"
+) + """), near AS (
+  SELECT asked.k, f, asked.x[1] AS first, quality, toxic, list_distance(asked.x, indexed.x) AS distance
+  FROM asked, range(1, 7) AS r(f), indexed JOIN l ON l.doc_id = indexed.k WHERE fold <> f
+  QUALIFY row_number() OVER (PARTITION BY asked.k, f ORDER BY list_distance(asked.x, indexed.x), indexed.k) <= 32
+), cut AS (
+  SELECT k, f,
+         (0.75 * (0.35 + 0.05 * f) + 0.25 * sum(exp(-distance) * quality) / sum(exp(-distance)) > 0.5)::INTEGER AS quality,
+         (0.75 * (any_value(first) + 0.1 * f) + 0.25 * sum(exp(-distance) * toxic) / sum(exp(-distance)) > 0.5)::INTEGER AS toxic
+  FROM near GROUP BY k, f
+)
+SELECT k::VARCHAR AS "Argument ID", (avg(quality) >= 0.5)::INTEGER AS quality, (avg(toxic) >= 0.5)::INTEGER AS toxic
+FROM cut GROUP BY k"""
+
+
+@query("fold_ensemble_predict", SQL_FOLD_ENSEMBLE)
+def fold_ensemble_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Six models and their six held-out indexes in one search, then the vote."""
+
+    def scorer(df: DataFrame, text: str, out: str) -> DataFrame:
+        first = F.get("embedding", F.lit(0)).cast("double")
+        folds = [F.array(F.lit(0.35) + 0.05 * F.lit(f), first + 0.1 * F.lit(f)) for f in range(1, 7)]
+        return df.withColumn(out, F.array(*folds))
+
+    return predict_fold_ensemble(arguments(spark, d), hashed_encoder(64), scorer, hashed_index(spark, d), LABELS)
+
+
+@query(
+    "predict_file_order",
+    f"""WITH {SQL_VOTED}
+        SELECT doc_id::VARCHAR AS "Argument ID", quality, toxic,
+               row_number() OVER (ORDER BY md5('order:' || doc_id)) - 1 AS row_pos FROM voted""",
+)
+def predict_file_order(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments in files of no sorted order; the predictions are written as the files stand."""
+    source, target = new_path(spark, "unsorted"), new_path(spark, "predictions")
+    unsorted = arguments(spark, d).orderBy(F.md5(F.concat(F.lit("order:"), "Argument ID")))
+    write_tsv(unsorted, source)
+    placed = file_position([read_arguments(spark, source)], ["Argument ID"])
+    stacked = by_argument(fold_predictions(spark, d))
+    folds = [stacked.filter(F.col("fold") == k).drop("fold") for k in range(1, 7)]
+    write_tsv(ensemble_vote(placed, folds, LABELS, position="row_pos"), target)
+    return read_labels(spark, target, LABELS).join(file_position([read_labels(spark, target, [])], ["Argument ID"]), "Argument ID")
+
+
 @query("text_predict", SQL_TEXT_PREDICT)
 def text_predict(spark: SparkSession, d: str) -> DataFrame:
     """Texts scored through an index of the labelled ones, with hashed words as the model."""

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelloom.functions.portable import digest
-from labelloom.session import shared_folder
+from labelloom.session import new_path, shared_folder
 
 # The seeded order key is uniform hex, so its first four digits cut the table into
 # 65,536 even parts at any size. This is also the proven bound of the offsets table.
@@ -96,3 +96,36 @@ def row_position(df: DataFrame, order: Sequence[str], out: str = "row_pos") -> D
         .withColumn(out, F.col("_start") + within)
         .drop("_at", "_part", "_start")
     )
+
+
+def file_position(
+    inputs: Sequence[DataFrame], keys: Sequence[str], out: str = "row_pos"
+) -> DataFrame:
+    """``(keys…, out)``: zero-based place of every row as the rows stand in their files.
+
+    ``inputs`` are file scans, with nothing between them and the file but projections; their
+    rows follow in the order of the list, the files of one input in the order of their paths.
+    Only keys and a row's file, block and number in its task are written, never the row itself;
+    one row per block of a file then gives the offsets. Every number comes from the written
+    keys, so a task that runs again changes none.
+    """
+    spark = inputs[0].sparkSession
+    scanned = [
+        df.select(
+            *keys,
+            F.lit(n).alias("_input"),
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+        ).withColumn("_at", F.monotonically_increasing_id())
+        for n, df in enumerate(inputs)
+    ]
+    path = new_path(spark, "file-order")
+    for n, df in enumerate(scanned):
+        df.write.parquet(f"{path}/{n}")
+    rows = spark.read.parquet(*[f"{path}/{n}" for n in range(len(scanned))])
+    split = ["_input", "_file", "_block"]
+    counts = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    running = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # a row per block of a file
+    offsets = counts.withColumn("_start", F.coalesce(F.sum("_rows").over(running), F.lit(0))).drop("_rows")
+    placed = rows.join(offsets, split)
+    return placed.select(*keys, (F.col("_start") + F.col("_at") - F.col("_first")).alias(out))

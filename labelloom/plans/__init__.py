@@ -1,7 +1,7 @@
 """The three jobs: train, predict, evaluate."""
 
 from labelloom.plans.evaluate import Evaluation, evaluate, evaluate_files
-from labelloom.plans.predict import ensemble_vote, predict_levels, predict_text_model
+from labelloom.plans.predict import ensemble_vote, predict_fold_ensemble, predict_levels, predict_text_model
 from labelloom.plans.train import build_fold_index, cross_validate_svm, prepare, train_levels
 
 __all__ = [
@@ -11,6 +11,7 @@ __all__ = [
     "ensemble_vote",
     "evaluate",
     "evaluate_files",
+    "predict_fold_ensemble",
     "predict_levels",
     "predict_text_model",
     "prepare",

@@ -12,8 +12,10 @@ from labelloom.operators.folds import assign_folds
 from labelloom.operators.inference import blended_scores
 from labelloom.operators.losses import _batch_loss, contrastive_loss
 from labelloom.operators.metrics import confusion, elementwise_accuracy
+from labelloom.operators.positions import file_position
 from labelloom.operators.rollup import taxonomy_levels
 from labelloom.operators.selection import best_epoch
+from labelloom.sources.tables import read_arguments
 from labelloom.sources.taxonomy import parse_taxonomy
 from labelloom.streaming import stream_arguments
 
@@ -174,3 +176,30 @@ def test_one_pass_gives_the_weights_of_two(spark):
     assert {tuple(r) for r in counted_idf(counts, docs).collect()} == {tuple(r) for r in fit_idf(docs, "t", ["the"]).collect()}
     plan = term_counts(docs, "id", "t")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # the texts; their counts need none
+
+
+def test_file_position_follows_the_files(spark, tmp_path):
+    """Two inputs of several files, each cut into many blocks; ids in no order, some repeated."""
+    rng = np.random.default_rng(3)
+    inputs, want = [], []
+    for name in ("later", "early"):
+        folder = tmp_path / name
+        folder.mkdir()
+        for part in range(3):
+            ids = rng.integers(0, 400, 150).tolist()
+            lines = [f"a{i}\ttext of {i}" for i in ids]
+            (folder / f"part-{part}.tsv").write_text("\n".join(["Argument ID\tPremise", *lines]) + "\n")
+            want += [f"a{i}" for i in ids]
+        inputs.append(str(folder))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        frames = [read_arguments(spark, path) for path in inputs]
+        assert frames[0].rdd.getNumPartitions() > 3
+        found = file_position(frames, ["Argument ID"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["Argument ID"] for r in sorted(found, key=lambda r: r["row_pos"])] == want
+    assert sorted(r["row_pos"] for r in found) == list(range(900))
+    (tmp_path / "none.tsv").write_text("Argument ID\tPremise\n")
+    assert file_position([read_arguments(spark, str(tmp_path / "none.tsv"))], ["Argument ID"]).count() == 0
