@@ -1,11 +1,11 @@
 """Exact top-k search by inner product over vector-approximation files.
 
-Vectors are packed into blocks of ``BLOCK`` rows. A block holds, beside the exact integer
-vectors, one small cell number per component. The cells' middle and half width bound every
-inner product from both sides. A query scans the cells of a block, reads the exact vectors of
-the best bounds first, and stops when no unread bound reaches the k-th exact score; that score
-is carried to the next block of the task. Blocks of queries meet blocks of rows, each pair
-sends at most k rows per query, and a window takes the k best.
+Vectors are packed into blocks of ``BLOCK`` rows: one small cell number per component beside
+the exact integer vectors. First only the cells are scanned: blocks of queries meet the cells
+of blocks of rows, and the cells bound every inner product from both sides. A pair stays if
+its upper bound reaches the k-th lower bound its task has seen, then the k-th of all. Then
+exact vectors are read in the order of the bounds, first the best 2k of each query, then those
+whose upper bound still reaches the k-th exact score; nothing else is read exactly.
 """
 
 from __future__ import annotations
@@ -39,10 +39,30 @@ def _unpacked(kind: str, data: bytes, dim: int) -> np.ndarray:
 
 
 def cells(values: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell numbers of a block, and lower edge and width of the cells of each component."""
+    """Cell numbers of a block of integers, and lowest integer and integers a cell of each component."""
     low = values.min(axis=0)
-    width = np.maximum((values.max(axis=0) - low) / (1 << bits), 1e-300)
-    return np.minimum((values - low) // width, (1 << bits) - 1).astype(np.uint8), low, width
+    with np.errstate(over="ignore", invalid="ignore"):
+        width = np.maximum(np.ceil((values.max(axis=0) - low + 1) / (1 << bits)), 1.0)
+        at = (values - low) // width
+    at = np.where(np.isfinite(at), at, 0)  # a range beyond the doubles: bounds then say nothing
+    return np.minimum(at, (1 << bits) - 1).astype(np.uint8), low, width
+
+
+def bounds(queries: np.ndarray, cell: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of every inner product, from the cells alone."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        half = (width - 1.0) / 2.0
+        middle = low + cell * width + half
+        size = np.abs(queries)
+        rounding = 1e-9 * (size @ (np.abs(middle).max(axis=0) + width)) + 1e-9
+        slack = (size @ half + rounding)[:, None]
+        centre = queries @ middle.T
+        lower, upper = centre - slack, centre + slack
+    ends = float(_LONG[0]), -float(_LONG[0])  # scores stop at the ends of a long, and so do their bounds
+    return (
+        np.where(np.isnan(lower), ends[0], np.clip(lower, *ends)),
+        np.where(np.isnan(upper), ends[1], np.clip(upper, *ends)),
+    )
 
 
 def exact_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -54,56 +74,6 @@ def exact_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array([min(max(s, _LONG[0]), _LONG[1]) for s in sums], np.int64)
 
 
-def search_block(
-    queries: np.ndarray, own: np.ndarray, floor: np.ndarray, block: tuple, vectors: np.ndarray, ids: np.ndarray, k: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query: its number and the rows and scores that can be among its ``k`` best.
-
-    ``own`` is the row of the query in this block, or -1; ``floor`` the k-th score so far,
-    raised in place. ``ids`` break ties.
-    """
-    cell, low, width = block
-    middle = low + (cell + 0.5) * width
-    for start in range(0, len(queries), _STEP):
-        part = queries[start : start + _STEP]
-        size = np.abs(part)
-        slack = size @ (width / 2) + 1e-9 * (size @ (np.abs(middle).max(axis=0) + width)) + 1e-9
-        bound = part @ middle.T + slack[:, None]
-        mine = own[start : start + _STEP]
-        there = np.flatnonzero(mine >= 0)
-        bound[there, mine[there]] = -np.inf
-        read_rows: list[list] = [[] for _ in part]
-        read_scores: list[list] = [[] for _ in part]
-        live = np.arange(len(part))
-        while len(live):
-            take = min(bound.shape[1], 2 * k)
-            best = np.argpartition(-bound[live], take - 1, axis=1)[:, :take]
-            value = np.take_along_axis(bound[live], best, axis=1)
-            hit = (value >= floor[start + live, None]) & np.isfinite(value)
-            q, at = np.nonzero(hit)
-            rows = best[q, at]
-            scores = exact_scores(part[live[q]], vectors[rows])
-            bound[live[:, None], best] = -np.inf
-            edge = np.searchsorted(q, np.arange(len(live) + 1))
-            still = []
-            for i, query in enumerate(live):
-                if edge[i] == edge[i + 1]:
-                    continue
-                read_rows[query].append(rows[edge[i] : edge[i + 1]])
-                read_scores[query].append(scores[edge[i] : edge[i + 1]])
-                seen = np.concatenate(read_scores[query])
-                if len(seen) >= k:
-                    kth = float(np.partition(seen, len(seen) - k)[len(seen) - k])
-                    floor[start + query] = max(floor[start + query], kth)
-                still.append(query)
-            live = np.array(still, np.int64)
-        for query in range(len(part)):
-            if read_rows[query]:
-                rows, scores = np.concatenate(read_rows[query]), np.concatenate(read_scores[query])
-                order = np.lexsort((ids[rows], ~scores))  # ~ turns the order around without overflow
-                yield start + query, rows[order[:k]], scores[order[:k]]
-
-
 _BLOCKS = "block string, dim int, ids array<long>, kind string, vectors binary, cells binary, low binary, width binary"
 
 
@@ -146,25 +116,87 @@ def _blocks(vectors: DataFrame, scale: int, bits: int, size: int) -> DataFrame:
     return rows.mapInPandas(pack, _BLOCKS)
 
 
+_QUERIES = "part string, dim int, n int, from array<string>, at array<int>, keys array<long>, queries binary"
+
+
 def _queries(blocks: DataFrame, every: int, size: int) -> DataFrame:
-    """Query vectors in blocks, each with the block and row it comes from."""
+    """Query vectors in blocks of ``size``, each vector with the block and row it comes from.
+
+    A task numbers its own blocks of a dimension; ``part`` tells the tasks apart.
+    """
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from uuid import uuid4
+
+        part = uuid4().hex
+        waiting: dict[int, list] = {}
+        made: dict[int, int] = {}
+
+        def block(dim: int, rows: list) -> pd.DataFrame:
+            made[dim] = made.get(dim, 0) + 1
+            values = np.array([v for *_, v in rows]).reshape(len(rows), dim).tobytes()
+            return pd.DataFrame(
+                [(part, dim, made[dim], [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], values)],
+                columns=["part", "dim", "n", "from", "at", "keys", "queries"],
+            )
+
+        for batch in batches:
+            for _, b in batch.iterrows():
+                dim = b["dim"]
+                values = _unpacked(b["kind"], b["vectors"], dim)
+                rows = waiting.setdefault(dim, [])
+                for i in np.flatnonzero((b["ids"] != NO_ID) & (b["ids"] % every == 0)).tolist():
+                    rows.append((b["block"], i, int(b["ids"][i]), values[i].copy()))
+                    if len(rows) == size:
+                        yield block(dim, rows)
+                        rows.clear()
+        for dim, rows in waiting.items():
+            if rows:
+                yield block(dim, rows)
+
+    return blocks.select("block", "dim", "ids", "kind", "vectors").mapInPandas(pick, _QUERIES)
+
+
+def _numbered(asked: DataFrame) -> DataFrame:
+    """Query blocks numbered from 1 in each dimension, by the counts of the tasks that made them."""
+    counts = asked.groupBy("dim", "part").agg(F.max("n").alias("made"))  # a row per task
+    before = Window.partitionBy("dim").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("dim", "part", F.coalesce(F.sum("made").over(before), F.lit(0)).alias("start"))
+    return asked.join(starts, ["dim", "part"]).withColumn("q", F.col("start") + F.col("n")).drop("part", "n", "start")
+
+
+def _vectors(blocks: DataFrame) -> DataFrame:
+    """``(block, place, vec_id, vector)``: the exact vectors one by one, as packed doubles."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, b in batch.iterrows():
-                at = np.flatnonzero((b["ids"] != NO_ID) & (b["ids"] % every == 0)).tolist()
                 values = _unpacked(b["kind"], b["vectors"], b["dim"])
-                for start in range(0, len(at), size):
-                    part = at[start : start + size]
-                    keys = [int(b["ids"][i]) for i in part]
-                    yield pd.DataFrame(
-                        [(b["block"], b["dim"], part, keys, values[part].tobytes())],
-                        columns=["from_block", "from_dim", "at", "keys", "queries"],
-                    )
+                yield pd.DataFrame(
+                    {"block": b["block"], "place": np.arange(len(values)), "vec_id": b["ids"], "vector": [v.tobytes() for v in values]}
+                )
+
+    wanted = blocks.select("block", "dim", "ids", "kind", "vectors")
+    return wanted.mapInPandas(split, "block string, place int, vec_id long, vector binary")
 
-    return blocks.select("block", "dim", "ids", "kind", "vectors").mapInPandas(
-        pick, "from_block string, from_dim int, at array<int>, keys array<long>, queries binary"
-    )
+
+def _scored(pairs: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs with the exact score of their vectors; only these vectors go through the shuffle."""
+    found = pairs.join(vectors, ["block", "place"]).join(asked, ["from", "at"])
+
+    @F.pandas_udf("long")
+    def score(queries: pd.Series, rows: pd.Series) -> pd.Series:
+        out = np.zeros(len(rows), np.int64)
+        size = rows.str.len().to_numpy()
+        for length in np.unique(size):
+            of = np.flatnonzero(size == length)
+            left, right = (
+                np.frombuffer(b"".join(side.iloc[of])).reshape(len(of), -1) for side in (queries, rows)
+            )
+            out[of] = exact_scores(left, right)
+        return pd.Series(out)
+
+    return found.withColumn("score", score("asked", "vector")).drop("asked", "vector")
 
 
 def top_k(
@@ -179,46 +211,75 @@ def top_k(
     query. Repeated vec_ids are rows of their own, as queries and as candidates.
     """
     packed = stored(_blocks(vectors, scale, bits, block), "vectors")
-    asked = stored(_queries(packed, every, QUERY_BLOCK), "queries")
-    place = F.row_number().over(Window.partitionBy("from_dim").orderBy("from_block", F.element_at("at", 1)))
-    asked = stored(asked.withColumn("q", place), "queries")
-    counts = asked.groupBy("from_dim").agg(F.max("q").alias("n"))
-    pairs = packed.join(counts, packed.dim == counts.from_dim).drop("from_dim")
-    pairs = pairs.withColumn("q", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
-    met = pairs.join(asked, (pairs.q == asked.q) & (pairs.dim == asked.from_dim)).drop(pairs.q)
+    asked = stored(_numbered(stored(_queries(packed, every, QUERY_BLOCK), "queries")), "queries")
+    counts = asked.groupBy("dim").agg(F.max("q").alias("n"))
+    narrow = packed.select("block", "dim", "cells", "low", "width")
+    pairs = narrow.join(counts, "dim").withColumn("q", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+    met = pairs.join(asked.select("dim", "q", "from", "at", "queries"), ["dim", "q"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floors: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for _, b in batch.iterrows():
                 dim = b["dim"]
-                rows = _unpacked(b["kind"], b["vectors"], dim)
                 cell = np.frombuffer(b["cells"], np.uint8).reshape(-1, dim)
-                ids = np.where(b["ids"] == NO_ID, _LONG[1], b["ids"])  # no id comes last among ties
                 queries = np.frombuffer(b["queries"]).reshape(-1, dim)
-                at, keys = np.asarray(b["at"], np.int64), np.asarray(b["keys"], np.int64)
-                own = at if b["from_block"] == b["block"] else np.full(len(at), -1)
+                sources, at = np.asarray(b["from"]), np.asarray(b["at"], np.int64)
                 floor = floors.setdefault((dim, b["q"]), np.full(len(at), -np.inf))
-                block_cells = (cell, np.frombuffer(b["low"]), np.frombuffer(b["width"]))
-                found = list(search_block(queries, own, floor, block_cells, rows, ids, k))
-                if not found:
-                    continue
-                n = [len(r) for _, r, _ in found]
-                who = np.repeat([q for q, _, _ in found], n)
-                which = np.concatenate([r for _, r, _ in found])
-                yield pd.DataFrame(
-                    {
-                        "q": b["q"],
-                        "dim": dim,
-                        "at": who,
-                        "query_id": keys[who],
-                        "vec_id": b["ids"][which],
-                        "score": np.concatenate([s for _, _, s in found]),
-                    }
-                )
+                low, width = np.frombuffer(b["low"]), np.frombuffer(b["width"])
+                for start in range(0, len(queries), _STEP):
+                    step = slice(start, start + _STEP)
+                    lower, upper = bounds(queries[step], cell, low, width)
+                    own = np.flatnonzero(sources[step] == b["block"])
+                    lower[own, at[step][own]] = upper[own, at[step][own]] = -np.inf
+                    if len(cell) > k:
+                        kth = np.partition(lower, len(cell) - k, axis=1)[:, len(cell) - k]
+                        floor[step] = np.maximum(floor[step], kth)
+                    who, place = np.nonzero((upper >= floor[step, None]) & np.isfinite(upper))
+                    yield pd.DataFrame(
+                        {
+                            "from": sources[step][who],
+                            "at": at[step][who],
+                            "block": b["block"],
+                            "place": place,
+                            "lower": lower[who, place],
+                            "upper": upper[who, place],
+                        }
+                    )
 
-    found = met.mapInPandas(scan, "q int, dim int, at int, query_id long, vec_id long, score long")
+    bounded = stored(met.mapInPandas(scan, "from string, at int, block string, place int, lower double, upper double"), "bounds")
+    query = Window.partitionBy("from", "at")
+    kth = F.row_number().over(query.orderBy(F.desc("lower")))
+    floors = bounded.withColumn("n", kth).where(F.col("n") == k).select("from", "at", F.col("lower").alias("floor"))
+    live = bounded.join(floors, ["from", "at"], "left").where(F.col("upper") >= F.coalesce("floor", "upper"))
+    order = query.orderBy(F.desc("upper"), "block", "place")
+    live = stored(live.select("from", "at", "block", "place", "upper", F.row_number().over(order).alias("turn")), "bounds")
+
+    # exact vectors in the order of their bound: the best 2k first, then what can still reach the k-th
+    exact, queries = _vectors(packed), _query_vectors(asked)
+    first = stored(_scored(live.where(F.col("turn") <= 2 * k), exact, queries), "scores")
+    place = F.row_number().over(query.orderBy(F.desc("score")))
+    certain = first.withColumn("n", place).where(F.col("n") == k).select("from", "at", F.col("score").alias("kth"))
+    rest = live.where(F.col("turn") > 2 * k).join(certain, ["from", "at"], "left")
+    rest = rest.where(F.col("upper") >= F.coalesce(F.col("kth").cast("double"), "upper")).drop("kth")
+    found = first.unionByName(_scored(rest, exact, queries))
     found = found.withColumn("vec_id", F.when(F.col("vec_id") != F.lit(NO_ID), F.col("vec_id")))
-    order = Window.partitionBy("dim", "q", "at").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = query.orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _query_vectors(asked: DataFrame) -> DataFrame:
+    """``(from, at, query_id, asked)``: the query vectors one by one, as packed doubles."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, b in batch.iterrows():
+                values = np.frombuffer(b["queries"]).reshape(-1, b["dim"])
+                yield pd.DataFrame(
+                    {"from": b["from"], "at": b["at"], "query_id": b["keys"], "asked": [v.tobytes() for v in values]}
+                )
+
+    return asked.select("dim", "from", "at", "keys", "queries").mapInPandas(
+        split, "from string, at int, query_id long, asked binary"
+    )

@@ -312,4 +312,4 @@ def test_stages_take_empty_tables(spark):
 def test_all_are_registered():
     names = registered.queries()
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
