@@ -23,6 +23,7 @@ BITS = 5
 BLOCK = 4096
 QUERY_BLOCK = 1024
 _STEP = 256
+_WAITING = 500_000  # pairs a task holds back until their bound is compared once more
 _EXACT = float(1 << 53)
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
@@ -218,25 +219,36 @@ def top_k(
     met = pairs.join(asked.select("dim", "q", "from", "at", "queries"), ["dim", "q"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floors: dict[tuple, np.ndarray] = {}
+        now, best, waiting, held = None, np.zeros((0, k)), [], 0
+
+        def sent() -> Iterator[pd.DataFrame]:
+            """The waiting pairs that the k-th lower bound so far leaves possible."""
+            floor = best.min(axis=1, initial=np.inf)
+            for found, who in waiting:
+                yield found[found["upper"].to_numpy() >= floor[who]]
+
         for batch in batches:
             for _, b in batch.iterrows():
                 dim = b["dim"]
                 cell = np.frombuffer(b["cells"], np.uint8).reshape(-1, dim)
                 queries = np.frombuffer(b["queries"]).reshape(-1, dim)
                 sources, at = np.asarray(b["from"]), np.asarray(b["at"], np.int64)
-                floor = floors.setdefault((dim, b["q"]), np.full(len(at), -np.inf))
                 low, width = np.frombuffer(b["low"]), np.frombuffer(b["width"])
+                if now != (dim, b["q"]) or held > _WAITING:
+                    yield from sent()
+                    waiting, held = [], 0
+                if now != (dim, b["q"]):  # the join brings the blocks of rows of one block of queries together
+                    now, best = (dim, b["q"]), np.full((len(at), k), -np.inf)
                 for start in range(0, len(queries), _STEP):
                     step = slice(start, start + _STEP)
                     lower, upper = bounds(queries[step], cell, low, width)
                     own = np.flatnonzero(sources[step] == b["block"])
                     lower[own, at[step][own]] = upper[own, at[step][own]] = -np.inf
-                    if len(cell) > k:
-                        kth = np.partition(lower, len(cell) - k, axis=1)[:, len(cell) - k]
-                        floor[step] = np.maximum(floor[step], kth)
-                    who, place = np.nonzero((upper >= floor[step, None]) & np.isfinite(upper))
-                    yield pd.DataFrame(
+                    top = np.partition(lower, -k, axis=1)[:, -k:] if len(cell) > k else lower
+                    best[step] = np.partition(np.concatenate([best[step], top], axis=1), -k, axis=1)[:, -k:]
+                    floor = best[step].min(axis=1)
+                    who, place = np.nonzero((upper >= floor[:, None]) & np.isfinite(upper))
+                    found = pd.DataFrame(
                         {
                             "from": sources[step][who],
                             "at": at[step][who],
@@ -246,12 +258,15 @@ def top_k(
                             "upper": upper[who, place],
                         }
                     )
+                    waiting.append((found, start + who))
+                    held += len(who)
+        yield from sent()
 
-    bounded = stored(met.mapInPandas(scan, "from string, at int, block string, place int, lower double, upper double"), "bounds")
+    bounded = met.mapInPandas(scan, "from string, at int, block string, place int, lower double, upper double")
     query = Window.partitionBy("from", "at")
-    kth = F.row_number().over(query.orderBy(F.desc("lower")))
-    floors = bounded.withColumn("n", kth).where(F.col("n") == k).select("from", "at", F.col("lower").alias("floor"))
-    live = bounded.join(floors, ["from", "at"], "left").where(F.col("upper") >= F.coalesce("floor", "upper"))
+    whole = query.orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    live = bounded.withColumn("floor", F.nth_value("lower", k).over(whole))
+    live = live.where(F.col("upper") >= F.coalesce("floor", "upper"))
     order = query.orderBy(F.desc("upper"), "block", "place")
     live = stored(live.select("from", "at", "block", "place", "upper", F.row_number().over(order).alias("turn")), "bounds")
 
