@@ -65,23 +65,35 @@ def swap_rounds(words: Column, share: float = 0.3, least: int = 1, most: int = 1
 def swap_adjacent(words: Column, rounds: Column, seed: object, *keys: Column | str) -> Column:
     """Swap ``rounds`` seeded pairs of neighbouring words, one after the other.
 
-    The place of round r is drawn from ``(seed, keys, r)``. Texts of fewer than two
-    words come back unchanged.
+    The place of round r is drawn from ``(seed, keys, r)``. The drawn swaps are composed first:
+    each place they touch is followed back through them to the word it ends with, and the words
+    are laid out once. Texts of fewer than two words come back unchanged.
     """
 
     def run(bound: Column) -> Column:
         pairs = F.size(bound) - 1
 
-        def one_swap(current: Column, r: Column) -> Column:
-            place = F.floor(uniform(seed, *keys, r) * pairs).cast("int") + 1
-            return F.concat(
-                F.slice(current, F.lit(1), place - 1),
-                F.slice(current, place + 1, F.lit(1)),
-                F.slice(current, place, F.lit(1)),
-                F.slice(current, place + 2, F.size(bound)),
+        def place(r: Column) -> Column:
+            return F.floor(uniform(seed, *keys, r) * pairs).cast("int") + 1
+
+        def source(places: Column) -> Column:
+            """Touched place to the place its word comes from; both count from 1."""
+            touched = F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1))))
+            latest = F.reverse(places)
+            came = F.transform(touched, lambda i: F.aggregate(latest, i, _before_swap))
+            return F.map_from_arrays(touched, came)
+
+        def laid_out(sources: Column) -> Column:
+            return F.transform(
+                bound, lambda word, i: F.coalesce(F.get(bound, F.element_at(sources, i + 1) - 1), word)
             )
 
-        swapped = F.aggregate(F.sequence(F.lit(1), rounds), bound, one_swap)
-        return F.when(pairs >= 1, swapped).otherwise(bound)
+        places = F.transform(F.sequence(F.lit(1), rounds), place)
+        return F.when(pairs >= 1, bind(bind(places, source), laid_out)).otherwise(bound)
 
     return bind(words, run)
+
+
+def _before_swap(at: Column, place: Column) -> Column:
+    """Where the word at a place stood before ``place`` and its next were swapped."""
+    return F.when(at == place, place + 1).when(at == place + 1, place).otherwise(at)

@@ -1,5 +1,6 @@
 """File formats, text functions, augmentation, selection, stream."""
 
+import hashlib
 import random
 
 import pytest
@@ -151,6 +152,20 @@ def test_swaps_only_reorder(words):
         assert row["s"] != words
 
 
+def test_swaps_follow_each_other(spark):
+    rows = [(f"k{i}", " ".join(f"w{j}" for j in range(i))) for i in range(60)]
+    w = split_words(F.col("t"))
+    df = spark.createDataFrame(rows, "id string, t string")
+    for r in df.select("id", w.alias("w"), swap_adjacent(w, swap_rounds(w, 0.9, 1, 25), 4, "id").alias("s")).collect():
+        want = list(r.w)
+        for turn in range(1, max(1, min(25, int(len(want) * 0.9))) + 1):
+            if len(want) > 1:
+                draw = int(hashlib.md5(f"4:{r.id}:{turn}".encode()).hexdigest()[:8], 16) / 2**32
+                at = int(draw * (len(want) - 1))
+                want[at], want[at + 1] = want[at + 1], want[at]
+        assert r.s == want
+
+
 @pytest.mark.parametrize("rate", [0, 0.6, 1, 3.6])
 def test_augment_rates(spark, rate):
     rows = [(f"A{i}", " ".join(random.Random(i).sample("one two three four five six".split(), 6)), i) for i in range(200)]
