@@ -9,7 +9,7 @@ all words and one unseen. The two words before give the context: ``p = c1 * r[w1
 Training is noise-contrastive estimation in numpy, over every training token once: documents
 are dealt into ``ROUNDS`` rounds; in a round each task starts from the same parameters, takes
 its steps, and the tasks' parameters are averaged, weighted by tokens. Scoring is normalised:
-batched matrix products give the log normaliser of every context beforehand.
+batched matrix products give the log normaliser of every context beforehand, in tasks.
 
 Counts of words come in two tiers. Up to ``TABLE_ROWS`` frequent words are numbered in a
 broadcast table, and texts are stored once as numbers; numbered words are counted in the
@@ -26,14 +26,14 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from labelloom.llm.common import doc_id, row_key, stored
 
 TABLE_ROWS = 1 << 18
 TASK_TOP = 1 << 16
 MOST_BYTES = 64
-CLASSES = 512
+CLASSES = 2048
 SIZE = 16
 NOISE = 20
 BATCH = 1024
@@ -102,17 +102,13 @@ class LogBilinear:
         top = score.max(axis=1, keepdims=True)
         return score - top - np.log(np.exp(score - top).sum(axis=1, keepdims=True))
 
-    def log_normalisers(self) -> np.ndarray:
-        """Log normaliser of every context, ``[w1, w2]``, a batch of contexts at a time."""
+    def log_normalisers(self, first: int) -> np.ndarray:
+        """Log normalisers of the contexts ``(first, w2)`` of every ``w2``, in one matrix product."""
         r, q, b, c = self.parts(self.flat)
-        out = np.empty((self.classes, self.classes), np.float32)
-        second = c[1] * r
-        for first in range(self.classes):
-            score = (c[0] * r[first] + second) @ q.T + b
-            score[:, _START] = -np.inf
-            top = score.max(axis=1)
-            out[first] = top + np.log(np.exp(score - top[:, None]).sum(axis=1))
-        return out
+        score = (c[0] * r[first] + c[1] * r) @ q.T + b
+        score[:, _START] = -np.inf
+        top = score.max(axis=1)
+        return top + np.log(np.exp(score - top[:, None]).sum(axis=1))
 
     def scores(self, w1: np.ndarray, w2: np.ndarray, target: np.ndarray) -> np.ndarray:
         r, q, b, c = self.parts(self.flat)
@@ -281,6 +277,26 @@ def train(texts: DataFrame, words: int, classes: int = CLASSES, rounds: int = RO
     return model, counts, documents
 
 
+def normalisers(spark: SparkSession, model: LogBilinear, parts: int = 64) -> np.ndarray:
+    """Log normaliser of every context, ``[w1, w2]``: a row of the square table for each class,
+    computed in tasks. Its size is the square of the classes, whatever the corpus."""
+    classes, size = model.classes, model.size
+    shared = spark.sparkContext.broadcast(model.flat)
+
+    def norm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = LogBilinear(classes, size)
+        own.flat[:] = shared.value
+        for batch in batches:
+            for first in batch["id"].tolist():
+                yield pd.DataFrame({"first": [first], "line": [own.log_normalisers(first).astype(np.float32).tobytes()]})
+
+    found = spark.range(0, classes, 1, parts).mapInPandas(norm, "first long, line binary").toArrow()
+    out = np.empty((classes, classes), np.float32)
+    for first, line in zip(found["first"].to_pylist(), found["line"], strict=True):
+        out[first] = np.frombuffer(line.as_py(), np.float32)
+    return out
+
+
 def _chained(head: list, rest: Iterator[tuple]) -> Iterator[tuple]:
     yield from head
     yield from rest
@@ -326,7 +342,7 @@ def scores(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     v_other = int((counts[inside:] > 0).sum()) + v_rare
     base_below = float(np.log10(n_train + 0.1 * (v_train + 1)))
     other_below = float(np.log10(n_other + 0.1 * (v_other + 1)))
-    model_part = spark.sparkContext.broadcast((model.flat, model.log_normalisers(), counts, documents))
+    model_part = spark.sparkContext.broadcast((model.flat, normalisers(spark, model), counts, documents))
     class_count = model.classes
     schema = "row long, _lm_id long, held_out boolean, n_tokens long, known long, own_rare long, log_table double, log_outside double, n_outside long, log_class double"
 

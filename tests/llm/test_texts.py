@@ -4,7 +4,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -242,13 +242,54 @@ def test_base_scores_against_brute_force(docs, rows):
     assert all(r.score < 0 and math.isfinite(r.score) for r in found)
 
 
-def test_class_probabilities_sum_to_one():
+@pytest.mark.parametrize(("classes", "numbered"), [(20, 60), (64, 40), (12, 1 << 18)])
+def test_scores_against_the_trained_model(docs, rows, monkeypatch, classes, numbered):
+    """The score of every text from the model's class probabilities and the shares of other words."""
+    seen = {}
+
+    def frequent(table, own=lbl.frequent_words):
+        seen["words"] = own(table, numbered)
+        return seen["words"]
+
+    def trained(*args, own=lbl.train):
+        seen["trained"] = own(*args)
+        return seen["trained"]
+
+    monkeypatch.setattr(lbl, "frequent_words", frequent)
+    monkeypatch.setattr(lbl, "train", trained)
+    found = lbl.scores(docs, classes=classes).collect()
+    model = seen["trained"][0]
+    number = {w: i + 3 for i, w in enumerate(seen["words"][: model.classes - 3])}
+    texts = {}
+    for r in rows:
+        ws = (r[1] or "").encode().lower().split()
+        texts.setdefault(r[0], []).append(ws)
+    held = {i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0 for i in texts}
+    others = Counter(w for i, all_ in texts.items() if not held[i] for ws in all_ for w in ws if w not in number)
+    below = math.log10(sum(others.values()) + 0.1 * (len(others) + 1))
+    want = defaultdict(list)
+    for i, all_ in texts.items():
+        for ws in all_:
+            s = [lbl._START, lbl._START, *[number.get(w, lbl._OTHER) for w in ws], lbl._END]
+            p = model.log_probabilities(np.array(list(zip(s[:-2], s[1:-1], strict=True))))
+            own = float(p[np.arange(len(s) - 2), s[2:]].sum(dtype=np.float64)) / math.log(10)
+            want[i].append(own + sum(math.log10(others[w] + 0.1) - below for w in ws if w not in number))
+    got = defaultdict(list)
+    for r in found:
+        got[r.doc_id].append(r.score)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert np.allclose(sorted(got[i]), sorted(want[i]), rtol=1e-4, atol=1e-3)
+
+
+def test_class_probabilities_sum_to_one(spark):
     model = lbl.LogBilinear(12, 4)
     model.start(np.full(12, 1 / 12))
     contexts = np.array([(a, b) for a in range(12) for b in range(12)])
     whole = np.exp(model.log_probabilities(contexts))
     assert np.allclose(whole.sum(axis=1), 1, atol=1e-5) and not whole[:, lbl._START].any()
-    norm = model.log_normalisers()
+    norm = np.array([model.log_normalisers(first) for first in range(12)])
+    assert np.allclose(norm, lbl.normalisers(spark, model, 5), atol=1e-6)
     at = np.arange(12)
     own = model.scores(at, at, np.full(12, 5)) - norm[at, at]
     assert np.allclose(own, model.log_probabilities(np.stack((at, at), axis=1))[:, 5], atol=1e-5)
@@ -266,7 +307,7 @@ def test_training_beats_unigrams_on_held_out_text():
     model.start(share)
     model.train(lbl._contexts(iter(seqs[:1000]), 512), share, lbl.RATE, np.random.default_rng(1))
     held = seqs[1000:]
-    norm = model.log_normalisers()
+    norm = np.array([model.log_normalisers(first) for first in range(12)])
     own = np.mean([(model.scores(s[:-2], s[1:-1], s[2:]) - norm[s[:-2], s[1:-1]]).mean() for s in held])
     plain = np.mean([np.log(share)[s[2:]].mean() for s in held])
     assert own > plain + 0.3
