@@ -33,7 +33,7 @@ from labelloom.llm.common import doc_id, row_key, stored
 TABLE_ROWS = 1 << 18
 TASK_TOP = 1 << 16
 MOST_BYTES = 64
-CLASSES = 2048
+CLASSES = 1024
 SIZE = 16
 NOISE = 20
 BATCH = 1024
