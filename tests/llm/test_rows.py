@@ -1,7 +1,9 @@
 """Mixing, importance resampling, line dedup, substring dedup, vector search, pipeline."""
 
 import hashlib
+import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -89,6 +91,54 @@ def test_resampling_tells_junk_from_prose(spark):
     assert importance.resample(df.limit(0), marks, buckets=64).count() == 0
 
 
+def brute_sample(rows, labels, buckets):
+    """``log_weight`` and ``sample_key`` of every row, and the number of rows to keep."""
+    a, b = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def grams(text):
+        one = [zlib.crc32(w) for w in (text or "").encode().lower().split()]
+        two = [((x * a + y) * b % 2**64 >> 20) % buckets for x, y in zip(one, one[1:], strict=False)]
+        return Counter([(x * a % 2**64 >> 20) % buckets for x in one] + two)
+
+    judged = defaultdict(list)
+    for i, quality in labels:
+        if i is not None and quality is not None:
+            judged[i].append(quality)
+    good = {i for i, q in judged.items() if min(q) == 1}
+    every, fine = Counter(), Counter()
+    for i, text in rows:
+        every.update(grams(text))
+        fine.update(grams(text) if i in good else {})
+    share = sum(fine.values()) / max(1, sum(every.values()))
+    out = []
+    for i, text in rows:
+        weight = 0.0
+        for g, n in grams(text).items():
+            own = n if i in good else 0
+            weight += n * math.log((fine[g] - own + 5) / ((every[g] - n) * share + 5))
+        name = str(i) if i is not None else "text:" + hashlib.md5((text or "").encode()).hexdigest()
+        draw = (int(hashlib.md5(f"gumbel:{name}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+        out.append((i, text, weight, weight - math.log(-math.log(draw))))
+    return out, round(len(good) / len(judged) * len(rows))
+
+
+@pytest.mark.parametrize("buckets", [1 << 18, 97])
+def test_resampling_against_brute_force(spark, docs, rows, buckets):
+    labels = [(i, int(i % 4 > 0)) for i in range(0, 40, 2)] + [(2, 1), (4, 0), (None, 1), (6, None), (999, 1)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    want, k = brute_sample([(r[0], r[1]) for r in rows], labels, buckets)
+    border = sorted((x[3] for x in want), reverse=True)[k - 1]
+    found = importance.resample(docs, marks, buckets=buckets).collect()
+
+    def order(r):
+        return (r[0] is None, r[0] or 0, r[1])
+
+    got = sorted(((r.doc_id, r.log_weight, r.sample_key, r.kept) for r in found), key=order)
+    ours = sorted(((i, w, key, key >= border) for i, _, w, key in want), key=order)
+    assert [(r[0], r[3]) for r in got] == [(r[0], r[3]) for r in ours]
+    assert np.allclose([r[1:3] for r in got], [r[1:3] for r in ours], rtol=1e-9, atol=1e-6)
+
+
 def test_log_weight_leaves_the_text_out():
     at, n = importance.ngram_counts("a b a", 64)
     every, good = np.zeros(64, np.int64), np.zeros(64, np.int64)
