@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from labelloom.functions.labels import binarize
-from labelloom.functions.text import word_tokens
 from labelloom.operators.linear import MARGIN
 from labelloom.operators.metrics import confusion, precision_recall_f1
+from labelloom.operators.tfidf import counted_words
 
 
 def fold_term_counts(
@@ -25,8 +25,8 @@ def fold_term_counts(
     The rows serve every later step, so write them once.
     """
     dealt = docs.select(id_column, fold, text).repartition(F.col(id_column))
-    tokens = dealt.select(id_column, fold, F.explode_outer(word_tokens(F.col(text), stop_words)).alias("term"))
-    return tokens.groupBy(id_column, fold, "term").agg(F.count("term").alias("tf"))
+    texts = dealt.groupBy(id_column, fold).agg(F.collect_list(text).alias("_texts"))
+    return texts.select(id_column, fold, F.inline_outer(counted_words(F.col("_texts"), stop_words)))
 
 
 def fold_idf(counts: DataFrame, docs: DataFrame, fold: str = "fold") -> DataFrame:

@@ -203,3 +203,19 @@ def test_file_position_follows_the_files(spark, tmp_path):
     assert sorted(r["row_pos"] for r in found) == list(range(900))
     (tmp_path / "none.tsv").write_text("Argument ID\tPremise\n")
     assert file_position([read_arguments(spark, str(tmp_path / "none.tsv"))], ["Argument ID"]).count() == 0
+
+
+def test_words_are_counted_inside_their_row(spark):
+    """No table of all words of a task: only texts are grouped, by id. Ids may repeat or be null."""
+    from labelloom.operators.crossval import fold_term_counts
+    from labelloom.operators.tfidf import term_counts
+
+    rows = [(1, 1, "bb aa bb"), (1, 1, "aa cc"), (2, 1, None), (None, 2, "cc cc"), (None, 2, ""), (3, 2, "the")]
+    docs = spark.createDataFrame(rows, "id long, fold int, t string")
+    want = {(1, "aa", 2), (1, "bb", 2), (1, "cc", 1), (None, "cc", 2)}
+    assert {tuple(r) for r in term_counts(docs, "id", "t", ["the"]).collect()} == want
+    kept = term_counts(docs, "id", "t", ["the"], keep_empty=True)
+    assert {(r[0], r[1]) for r in kept.collect()} == {w[:2] for w in want} | {(2, None), (3, None)}
+    for counts in (kept, fold_term_counts(docs, "id", "t", ["the"])):
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate(keys=[id" not in plan.replace("ObjectHashAggregate", "Object") and "term" not in plan.split("Aggregate", 1)[1].split("]")[0]
