@@ -12,6 +12,7 @@ import pytest
 import __spark_entry__ as registered
 import corpus_pipeline
 from labelloom.llm import importance, lines, mixing, queries, suffix_dedup, va_file
+from labelloom.llm.common import row_key
 from tests.llm.conftest import words
 
 FOLDER = "/root/testdata/sf0.001"
@@ -215,6 +216,56 @@ def test_heads_of_different_tasks_are_compared(spark):
     assert {h: found.get(h, h) for h in want} == want
 
 
+def test_lines_alone_make_no_rows_and_parts_agree(spark, monkeypatch):
+    rng = random.Random(11)
+    lone = [words(rng, 20, 9000) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lone)], "doc_id long, text string").repartition(6)
+    assert lines.scan(df).count() == 0
+
+    base = [words(rng, 30) for _ in range(6)]
+    texts = []
+    for i in range(80):
+        own = base[i % 6].split()
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(30)] = f"v{rng.randrange(9)}"
+        texts.append("\n".join([lone[i], " ".join(own), "Common line", "", "common  LINE", lone[rng.randrange(300)], "ab", "ab\0"]))
+    rows = [(None if i % 9 == 4 else i, t) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[4], (3, texts[5]), (None, None)]
+    monkeypatch.setattr(lines, "_PART", 50)  # many parts
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_groups({lines.line_id(s): s for t in texts for _, s in lines._lines(t)})
+    digests = {(r.doc_id, r.text): r._lm_text for r in df.select("*", *row_key()).collect()}
+    places = defaultdict(set)
+    for own, text in rows:
+        for i, s in lines._lines(text):
+            key = lines.NO_ID if own is None else own
+            places[want[lines.line_id(s)]].add((own is None, key, digests[own, text], i))
+    gone = {p[1:] for group in places.values() for p in sorted(group)[1:]}
+    assert {tuple(r) for r in lines.removals(df).collect()} == gone
+
+
+def test_hashed_shingles_against_strings():
+    rng = random.Random(4)
+    some = [words(rng, rng.randrange(1, 40), 30) for _ in range(60)] + ["a", "a\0", "\u6f22\u5b57 " * 9 + "x", "ab" * 50, "b" * 9]
+    for part in (some, some[:1], []):
+        h, owner = lines.shingle_hashes(part)
+        want = []
+        for i, s in enumerate(part):
+            codes = [ord(c) for c in s.ljust(lines.SHINGLE, "\0")]
+            for at in range(len(codes) - lines.SHINGLE + 1):
+                x = 0
+                for c in codes[at : at + lines.SHINGLE]:
+                    x = (x * 0x100000001B3 + c) % (1 << 64)
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+                x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+                want.append((x ^ x >> 31, i))
+        assert list(zip(h.tolist(), owner.tolist(), strict=True)) == want
+    near = [(s, s + "v") for s in some] + [(s, t) for s in some for t in some]
+    exact = [lines.jaccard(lines.shingles(s), lines.shingles(t)) >= lines.SIMILARITY for s, t in near]
+    assert lines.alike(*map(list, zip(*near, strict=True)), lines.SIMILARITY) == exact
+    assert 60 < sum(exact) < len(exact) / 2
+
+
 def test_bands_meet_for_near_lines():
     rng = random.Random(2)
     met = total = 0
