@@ -414,7 +414,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["h", "text", "n"]).astype({"h": "int64", "text": object, "n": "int32"})
 
     found = docs.select("text").mapInPandas(pick, "h long, text string, n int")
-    found = found.join(wanted.select("h").distinct(), "h", "left_semi")
+    found = found.join(wanted.select("h"), "h", "left_semi")
     return found.groupBy("h").agg(F.min("text").alias("text"), F.min("n").alias("n"))
 
 
@@ -484,7 +484,7 @@ def groups(docs: DataFrame, scanned: DataFrame, similarity: float = SIMILARITY)
     """``(h, root)`` for lines that are near copies of another line; lines alone are left out."""
     lists = stored(members(scanned), "line-lists")
     pairs = lists.select("a", "b").distinct()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    wanted = lists.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = stored(_texts(docs, wanted), "line-texts")
     roots = _merged(None, _verified(pairs, texts, similarity))
     left = stored(_unsettled(lists, roots), "line-rest")
@@ -531,7 +531,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     places = stored(_places(blocks, named), "line-places")
     gone = _rows(blocks, "gone", [*KEY, "line"])
     place = F.struct(F.col("_lm_id") == F.lit(NO_ID), *KEY, "line")
-    tops = places.join(named, "h")
+    tops = stored(places.join(named, "h"), "line-tops")
     firsts = tops.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     lost = joined_hot(tops, stored(firsts, "line-firsts"), "root", "n").where(place != F.col("first"))
     return gone.union(places.where("h IS NULL").select(*KEY, "line")).union(lost.select(*KEY, "line"))
