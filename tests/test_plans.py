@@ -45,3 +45,32 @@ def test_confusion_sums_before_it_shuffles(spark):
     for layout in ("wide", "long"):
         text = plan(confusion(df, ["x"], layout=layout))
         assert "partial_count" in text and text.count("Exchange") == 1
+
+
+def test_texts_and_index_are_encoded_once(spark):
+    """Models are the costly part: each row of both sides goes through them once."""
+    from pyspark.sql import functions as F, types as T
+
+    from labelloom.plans.predict import predict_fold_ensemble, predict_text_model
+
+    encoded = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def places(texts):
+        encoded.add(len(texts))
+        return texts.map(lambda t: [float(len(t)), 1.0])
+
+    def encoder(df, text, out):
+        return df.withColumn(out, places(text))
+
+    rows = [(f"a{i}", "x" * i, "c", "against", i % 2) for i in range(1, 31)]
+    docs = spark.createDataFrame(rows, "`Argument ID` string, Premise string, Conclusion string, Stance string, y int")
+    index = encoder(docs, "Premise", "embedding").select(
+        F.col("Argument ID").alias("row_id"), "embedding", F.array("y").alias("labels"), (F.col("y") + 1).alias("fold")
+    )
+    one = lambda df, text, out: df.withColumn(out, F.array(F.lit(0.5)))
+    two = lambda df, text, out: df.withColumn(out, F.array(F.array(F.lit(0.5)), F.array(F.lit(0.5))))
+    assert predict_text_model(docs, encoder, one, index.drop("fold"), ["y"]).count() == 30
+    assert encoded.value == 60
+    assert predict_fold_ensemble(docs, encoder, two, index, ["y"]).count() == 30
+    assert encoded.value == 120
